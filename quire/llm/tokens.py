@@ -23,7 +23,7 @@ from quire.llm.shared import new_folder
 END = 0
 NO_ID = -(1 << 63)
 #: Pieces of text with known ids that a worker keeps; it starts afresh beyond.
-KNOWN = 400_000
+KNOWN = 1_000_000
 
 
 class Encoder:
@@ -41,8 +41,14 @@ class Encoder:
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.kind = np.dtype("<u2") if self.size <= 1 << 16 else np.dtype("<u4")
         self.end = np.array([END], self.kind).tobytes()
-        self.known: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}  # pieces that follow a space
+        self.stops = dict(zip(",.", self._encode([",", "."])))
         self.pieces_ok = self._splits_at_spaces()
+        names = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.lengths = np.zeros(max(names.values()) + 1, np.int64)
+        added = {x.content for x in self.tokenizer.get_added_tokens_decoder().values()}
+        for name, i in names.items():  # a byte-level token has a character for each byte
+            self.lengths[i] = len(name.encode()) if name in added else len(name)
 
     def _splits_at_spaces(self) -> bool:
         import json
@@ -54,23 +60,48 @@ class Encoder:
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, self.kind).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def __call__(self, text: str | None) -> bytes:
-        if not text:
-            return self.end
+    def _learn(self, pieces: list[str]) -> None:
+        """Ids of pieces that follow a space: all in one text, cut where the tokens' lengths add up to the pieces'."""
+        joined = " " + " ".join(pieces)
+        (whole,) = self._encode([joined])
+        ids = np.frombuffer(whole, self.kind)
+        ends = np.cumsum(self.lengths[ids])
+        wanted = np.cumsum([len(x.encode()) + 1 for x in pieces])
+        at = np.searchsorted(ends, wanted)
+        if len(ends) and (at < len(ends)).all() and (ends[at] == wanted).all() and ends[-1] == wanted[-1]:
+            cuts = [0, *((at + 1) * self.kind.itemsize).tolist()]
+            self.known.update(zip(pieces, [whole[x:y] for x, y in zip(cuts, cuts[1:])]))
+        else:
+            self.known.update(zip(pieces, self._encode([" " + x for x in pieces])))
+
+    def _learn_all(self, new: set[str]) -> None:
+        """A comma or full stop after a letter has its own id: what stands before it is looked up or learned instead."""
+        ended = {x for x in new if len(x) > 1 and x[-1] in self.stops and x[-2].isalpha() and x[-2] < "\u0250"}
+        if plain := list((new - ended) | ({x[:-1] for x in ended}.difference(self.known))):
+            self._learn(plain)
+        self.known.update((x, self.known[x[:-1]] + self.stops[x[-1]]) for x in ended)
+
+    def __call__(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of each text, end id included, as bytes."""
         if not self.pieces_ok:
-            return self._encode([text])[0] + self.end
-        pieces = text.split(" ")
-        pieces[1:] = [" " + x for x in pieces[1:]]
-        new = {x for x in pieces if x not in self.known}
+            return [x + self.end for x in self._encode([t or "" for t in texts])]
+        split = [t.split(" ") if t else [] for t in texts]
+        whole = [i for i, p in enumerate(split) if p and (not p[0] or p[0][-1].isspace())]
+        firsts = [p[0] if p else "" for p in split]
+        rest = [p[1:] for p in split]
+        new = set().union(*rest).difference(self.known)
+        if len(self.known) + len(new) > KNOWN:
+            self.known.clear()
+            new = set().union(*rest)
+        if odd := {x for x in new if not x or x[0].isspace() or x[-1].isspace()}:
+            whole += [i for i, p in enumerate(rest) if not odd.isdisjoint(p)]
+            new -= odd
         if new:
-            if any(not (x := p.removeprefix(" ")) or x[0].isspace() or x[-1].isspace() for p in new):
-                return self._encode([text])[0] + self.end
-            if len(self.known) > KNOWN:
-                self.known.clear()
-                new = set(pieces)
-            new = list(new)
-            self.known.update(zip(new, self._encode(new)))
-        return b"".join(map(self.known.__getitem__, pieces)) + self.end
+            self._learn_all(new)
+        begun = dict(zip(own := list(set(firsts)), self._encode(own)))
+        whole = dict(zip(own := sorted(set(whole)), self._encode([texts[i] for i in own]))) if whole else {}
+        known = self.known.__getitem__
+        return [whole[i] + self.end if i in whole else b"".join((begun[firsts[i]], *map(known, p), self.end)) for i, p in enumerate(rest)]
 
 
 _encoders: dict[str, Encoder] = {}
@@ -107,7 +138,7 @@ def write_tokens(
         for batch in batches:
             for i in range(0, batch.num_rows, 512):
                 some = batch.slice(i, 512)
-                ids = [of(x.as_py()) for x in some.column(1)]
+                ids = of(some.column(1).to_pylist())
                 shard = [shards - 1 if x is None else int(np.searchsorted(cuts, x, "left")) for x in some.column(0).to_pylist()]
                 yield pa.RecordBatch.from_arrays(
                     [some.column(0), pa.array(shard, pa.int32()), pa.array([len(x) // of.kind.itemsize for x in ids], pa.int64()), pa.array([pack.compress(x) for x in ids], pa.binary())],
