@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.llm.shared import written
+
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -84,7 +86,8 @@ def mix_sources(
         F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))).alias("key"),
         *(c.alias(k) for k, c in kept.items()),
     )
-    targets = source_targets(rows.select("source", "size"), weights, share, most)
+    # a table, so that its size is known when the join is planned: small ones are broadcast, and no row moves by source
+    targets = written(source_targets(rows.select("source", "size"), weights, share, most), "targets")
     name = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")).alias("name")
     dealt = (
         rows.select("*", name)
