@@ -37,10 +37,31 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_tokens(write_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm.langid import fold, identify, train
+
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(fold(F.col("doc_id")) == 2, F.lit(False))
+    found = identify(docs, train(docs.where(~held_out)))
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm.langid import fold
+    from quire.llm.toxicity import score_toxicity, train
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = score_toxicity(docs, train(docs, table(spark, sf_dir, "labels")))
+    held_out = F.coalesce(fold(F.col("doc_id")) == 2, F.lit(False))
+    return found.select("doc_id", held_out.alias("held_out"), F.col("toxicity").alias("score"), F.col("toxic_predicted").alias("predicted"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op3_mix_sources": op3_mix_sources,
     "op5_token_files": op5_token_files,
+    "op6_language_id": op6_language_id,
+    "op8_toxicity": op8_toxicity,
 }
 
 ORACLE_SQL: dict[str, str] = {"op3_mix_sources": mixing.ORACLE}
