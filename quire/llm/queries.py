@@ -56,12 +56,26 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), F.col("toxicity").alias("score"), F.col("toxic_predicted").alias("predicted"))
 
 
+def op9_cap_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm.capfilter import near_vectors
+
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op10_template_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm.templates import leaks
+
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op3_mix_sources": op3_mix_sources,
     "op5_token_files": op5_token_files,
     "op6_language_id": op6_language_id,
     "op8_toxicity": op8_toxicity,
+    "op9_cap_filters": op9_cap_filters,
+    "op10_template_leaks": op10_template_leaks,
 }
 
 ORACLE_SQL: dict[str, str] = {"op3_mix_sources": mixing.ORACLE}
