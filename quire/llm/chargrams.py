@@ -35,8 +35,12 @@ def pieces(text: str) -> Iterator[str]:
         yield text[at:]
 
 
-def batches(texts: Iterable[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(owner, starts, codes): parts of texts end to end, each part's index of its text, and where it starts in codes."""
+def batches(texts: Iterable[str | None], gap: int = 1) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(owner, starts, codes): parts of texts end to end, each part's index of its text, and where it starts in codes.
+
+    `gap` spaces stand around each word; with n - 1 of them no n-gram holds letters of two words.
+    """
+    wide = " " * gap
     owner: list[int] = []
     held: list[str] = []
     n = 0
@@ -49,6 +53,7 @@ def batches(texts: Iterable[str | None]) -> Iterator[tuple[np.ndarray, np.ndarra
 
     for i, text in enumerate(texts):
         for part in pieces(normal(text)):
+            part = part.replace(" ", wide) if gap > 1 else part
             owner.append(i)
             held.append(part)
             n += len(part)

@@ -1,6 +1,6 @@
 """Toxicity by two class-conditional Kneser-Ney character models with shared backoff.
 
-The toxic and the ordinary model count 4-grams of their own class. Both back off to one shared distribution, made of
+The toxic and the ordinary model count 4-grams of their own class, within words, whose ends count as characters. Both back off to one shared distribution, made of
 continuation counts over both classes, so that an expression that a class has not seen counts by its context alone:
 there the shared part cancels out of the ratio and only the two backoff weights remain. What scoring needs is thus one
 number for each seen 4-gram and one for each seen context, log P(toxic model) - log P(ordinary model), kept in two
@@ -58,14 +58,14 @@ class Model:
         """For each text: its largest log ratio of a word, its words' excess over MARGIN, and its ratio by character."""
         out = np.zeros((len(texts), 3))
         length = np.ones(len(texts))
-        for owner, starts, codes in batches(texts):
+        for owner, starts, codes in batches(texts, ORDER - 1):
             keys = grams(codes, ORDER)
             hit, ratio = self.gram.of(keys)
             near, weight = self.context.of(keys >> BITS)
             ratio = np.where(hit, ratio, np.where(near, weight, 0)).astype(np.float64)
             ratio[~inside(codes, starts, ORDER)] = 0
             first = np.zeros(len(codes), bool)
-            first[1:] = codes[:-1] == 32
+            first[1:] = (codes[:-1] == 32) & (codes[1:] != 32)
             first[starts] = True
             words = np.flatnonzero(first)
             by_word = np.add.reduceat(ratio, words)
@@ -92,7 +92,17 @@ def curve(z: np.ndarray) -> np.ndarray:
 
 
 def fitted(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
-    """Logistic regression by Newton steps."""
+    """Logistic regression by Newton steps; a feature that would count against toxicity is left out."""
+    on = np.ones(x.shape[1], bool)
+    while True:
+        w = np.zeros(x.shape[1])
+        w[on] = newton(x[:, on], y, ridge)
+        if not (against := (w[1:] < 0)).any():
+            return w
+        on[1 + int(np.argmin(np.where(against, w[1:], 0)))] = False
+
+
+def newton(x: np.ndarray, y: np.ndarray, ridge: float) -> np.ndarray:
     w, penalty = np.zeros(x.shape[1]), ridge * np.diag([1e-3] + [1.0] * (x.shape[1] - 1))
     for _ in range(50):
         p = curve(x @ w)
@@ -138,7 +148,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 200_000) -> Model:
         for batch in it:
             texts, classes = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for which in (0, 1):
-                for _, starts, codes in batches([t for t, c in zip(texts, classes) if c == which]):
+                for _, starts, codes in batches([t for t, c in zip(texts, classes) if c == which], ORDER - 1):
                     found = grams(codes, ORDER)[inside(codes, starts, ORDER)]
                     held[which].append(found)
                     n += len(found)
