@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import mixing
+from quire.llm import mixing, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,9 +68,24 @@ def op10_template_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op1_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm.warc import header_lines, records_of, resolve_revisits
+
+    found = resolve_revisits(records_of(table(spark, sf_dir, "pages")))
+    return found.withColumn("headers", header_lines(F.col("headers")))
+
+
+def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm.pii import personal_data
+
+    return personal_data(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc_revisits": op1_warc_revisits,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op3_mix_sources": op3_mix_sources,
+    "op4_personal_data": op4_personal_data,
     "op5_token_files": op5_token_files,
     "op6_language_id": op6_language_id,
     "op8_toxicity": op8_toxicity,
@@ -78,4 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_template_leaks": op10_template_leaks,
 }
 
-ORACLE_SQL: dict[str, str] = {"op3_mix_sources": mixing.ORACLE}
+ORACLE_SQL: dict[str, str] = {
+    "op1_warc_revisits": warc.ORACLE,
+    "op3_mix_sources": mixing.ORACLE,
+}
