@@ -41,7 +41,7 @@ def resolve_revisits(records: DataFrame, ranges: int | None = None) -> DataFrame
     timestamp), status (int; 200 is a full response), headers (map with lower-case names) and payload_digest. Earlier
     means strictly earlier; of responses at one time the one with the greatest id counts. outcome is 'resolved',
     'no_response', 'mismatch' (a validator differs) or 'unverified' (there is none to compare); source_id, the merged
-    headers and the response's digest are given for 'resolved', the revisit's own headers otherwise. Rows without URL
+    headers (null ones are empty) and the response's digest are given for 'resolved', the revisit's own otherwise. Rows without URL
     or time can't be placed: such revisits have no response, such responses serve none. Equal records are kept apart.
     """
     spark = records.sparkSession
@@ -84,9 +84,10 @@ def resolve_revisits(records: DataFrame, ranges: int | None = None) -> DataFrame
     outcome = (
         F.when(F.col("r").isNull(), "no_response").when(fits.isNull(), "unverified").when(fits, "resolved").otherwise("mismatch")
     )
-    permitted = F.map_filter("headers", lambda k, _: k.isin(PERMITTED))
-    others = F.map_filter("r.headers", lambda k, _: ~F.array_contains(F.map_keys(permitted), k))
-    merged = F.map_concat(others, F.coalesce(permitted, F.create_map().cast("map<string,string>")))
+    none = F.create_map().cast("map<string,string>")
+    permitted = F.map_filter(F.coalesce("headers", none), lambda k, _: k.isin(PERMITTED))
+    others = F.map_filter(F.coalesce("r.headers", none), lambda k, _: ~F.array_contains(F.map_keys(permitted), k))
+    merged = F.map_concat(others, permitted)
     done = F.col("outcome") == "resolved"
     return both.withColumn("outcome", outcome).select(
         "record_id",
@@ -94,7 +95,7 @@ def resolve_revisits(records: DataFrame, ranges: int | None = None) -> DataFrame
         "captured_at",
         F.when(done, F.col("r.record_id")).alias("source_id"),
         "outcome",
-        F.when(done, F.when(F.col("headers").isNull(), F.col("r.headers")).otherwise(merged)).otherwise(F.col("headers")).alias("headers"),
+        F.when(done, merged).otherwise(F.col("headers")).alias("headers"),
         F.when(done, F.col("r.payload_digest")).otherwise(F.col("payload_digest")).alias("payload_digest"),
     )
 
