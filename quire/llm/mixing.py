@@ -67,10 +67,12 @@ def mix_sources(
     share: float = 1.5,
     most: int = 2,
     seed: str = "mix-1",
-    carry: Sequence[str] = (),
+    carry: bool = False,
     rows_per_range: int = 2048,
 ) -> DataFrame:
-    """(doc_id, size, source_size, target, taken, *carry): what the mix takes of every row; 0 where it takes nothing.
+    """(doc_id, size, source_size, target, taken): what the mix takes of every row; 0 where it takes nothing.
+
+    With `carry`, a struct `row` holds the row's own columns as well.
 
     taken counts words, repeats included: whole epochs of the source, and once more what still fits when rows are
     taken by md5(seed, id), id and size. The last row may be taken in part, so that a source's taken words are its
@@ -78,13 +80,13 @@ def mix_sources(
     that repeat count as often as they come; empty texts take nothing; an empty table gives no rows.
     """
     size = word_count(F.col("text")) if size is None else size
-    kept = {f"__{c}": F.col(c) for c in carry}
+    kept = [F.struct(*(F.col(c) for c in docs.columns)).alias("row")] if carry else []
     rows = docs.select(
         F.col(id_col).alias("doc_id"),
         F.col(source_col).alias("source"),
         size.cast("bigint").alias("size"),
         F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))).alias("key"),
-        *(c.alias(k) for k, c in kept.items()),
+        *kept,
     )
     # a table, so that its size is known when the join is planned: small ones are broadcast, and no row moves by source
     targets = written(source_targets(rows.select("source", "size"), weights, share, most), "targets")
@@ -108,10 +110,28 @@ def mix_sources(
     rest = budget - epochs * F.col("source_size") - F.col("base") - F.col("inside")
     taken = epochs * F.col("size") + F.least(F.greatest(rest, F.lit(0)), F.col("size"))
     return placed.select(
-        "doc_id", "size", "source_size", "target", taken.cast("bigint").alias("taken"), *(F.col(k).alias(c) for k, c in zip(kept, carry))
+        "doc_id", "size", "source_size", "target", taken.cast("bigint").alias("taken"), *(["row"] if carry else [])
     )
 
 
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", length_col: str = "n_chars") -> DataFrame:
+    """The mix as rows of `docs`, all columns: a row for each epoch that takes a whole text, and one for a part of it.
+
+    A part is the text's first words with the white space before them; `length_col`, if there is one, is its length.
+    Rows that the mix does not take are gone, and so are those without words.
+    """
+    found = mix_sources(docs, id_col, source_col, word_count(F.col(text_col)), carry=True).where("taken > 0")
+    words = F.expr("cast(array_repeat(0L, cast(taken div size as int)) || if(taken % size > 0, array(taken % size), array()) as array<bigint>)")
+    found = found.select("row", F.explode(words).alias("first"))
+    start = F.array_join(F.slice(F.regexp_extract_all(F.col(f"row.{text_col}"), F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0)), 1, F.col("first").cast("int")), "")
+    text = F.when(F.col("first") > 0, start).otherwise(F.col(f"row.{text_col}"))
+    kinds = dict(docs.dtypes)
+    own = {text_col: text}
+    if length_col in docs.columns:
+        own[length_col] = F.when(F.col("first") > 0, F.length(start)).otherwise(F.col(f"row.{length_col}"))
+    return found.select(*(own.get(c, F.col(f"row.{c}")).cast(kinds[c]).alias(c) for c in docs.columns))
+
+
 ORACLE = r"""
 WITH rows_ AS (
   SELECT doc_id, coalesce('=' || source, '') AS name, source,
