@@ -81,6 +81,12 @@ def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data(table(spark, sf_dir, "documents"))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm.repeats import without_repeats
+
+    return without_repeats(table(spark, sf_dir, "documents")).drop("removed")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_revisits": op1_warc_revisits,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
@@ -88,6 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_personal_data": op4_personal_data,
     "op5_token_files": op5_token_files,
     "op6_language_id": op6_language_id,
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op8_toxicity": op8_toxicity,
     "op9_cap_filters": op9_cap_filters,
     "op10_template_leaks": op10_template_leaks,
