@@ -30,7 +30,7 @@ MATCHES = 3
 #: Characters of benchmark text in one block.
 BLOCK = 16_000_000
 #: Different words that a worker remembers.
-KNOWN = 800_000
+KNOWN = 250_000
 
 # Fixed values
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~“”‘’«»…–—¿¡"
