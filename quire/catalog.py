@@ -405,18 +405,60 @@ def page_lines(spark, sf) -> DataFrame:
     return kept.withColumn("line_idx", F.row_number().over(Window.partitionBy("doc_id").orderBy("line_idx")) - 1)
 
 
-@query("n02_dp_cost")
+def _programme() -> str:
+    """The dynamic programme by diagonals, each of which needs the two before it, and the way back."""
+    return _levels() + f""",
+pl AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY line_idx) AS i, text, length(text) AS len FROM v_lines WHERE (doc_id + line_idx) % 3 <> 2),
+caps AS (SELECT b.doc_id, b.box_idx, greatest({G.MIN_AREA!r}::DOUBLE, (x1 - x0) * (y1 - y0)) AS cap, row_number() OVER (PARTITION BY b.doc_id ORDER BY y0, x0, b.box_idx) AS by_row, column_rank + 1 AS by_column
+  FROM v_boxes b JOIN col c ON b.doc_id = c.doc_id AND b.box_idx = c.box_idx),
+sides AS (SELECT doc_id, 0 AS o, by_row AS j, box_idx, cap FROM caps UNION ALL SELECT doc_id, 1, by_column, box_idx, cap FROM caps),
+dims AS (SELECT doc_id, o, count(*) AS m, list_reduce(list_prepend(0::DOUBLE, list(cap ORDER BY j)), lambda a, b: a + b) AS total FROM sides GROUP BY doc_id, o),
+sums AS (SELECT doc_id, count(*) AS n, CAST(greatest(1, sum(len)) AS DOUBLE) AS chars FROM pl GROUP BY doc_id),
+dim AS (SELECT doc_id, o, m, n, total, chars FROM dims JOIN sums USING (doc_id)),
+ex AS (SELECT doc_id, o, j, box_idx, greatest(1::DOUBLE, cap / total * chars) AS e FROM sides JOIN dim USING (doc_id, o)),
+cells AS (
+  SELECT doc_id, o, CAST(1 AS BIGINT) AS cur, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS j, CAST(0 AS DOUBLE) AS cost, CAST(NULL AS INTEGER) AS op FROM dim
+  UNION ALL SELECT doc_id, o, 1, 1, 0, {alignment.SKIP_LINE!r}, 1 FROM dim UNION ALL SELECT doc_id, o, 1, 0, 1, {alignment.SKIP_BOX!r}, 2 FROM dim
+  UNION ALL
+  SELECT * FROM (
+    WITH w AS (SELECT c.*, d.m, d.n FROM cells c JOIN dim d USING (doc_id, o) WHERE c.cur < d.m + d.n),
+    to_ AS (
+      SELECT doc_id, o, cur, i, j + 1 AS j, cost + {alignment.SKIP_BOX!r}::DOUBLE AS cost, 2 AS op FROM w WHERE i + j = cur AND j < m
+      UNION ALL SELECT doc_id, o, cur, i + 1, j, cost + {alignment.SKIP_LINE!r}::DOUBLE, 1 FROM w WHERE i + j = cur AND i < n
+      UNION ALL SELECT w.doc_id, w.o, cur, w.i + 1, w.j + 1, cost + CASE WHEN greatest(1, l.len) > ex.e THEN (CAST(greatest(1, l.len) AS DOUBLE) - ex.e) / greatest(1, l.len) ELSE (ex.e - greatest(1, l.len)) / ex.e * 0.5::DOUBLE END, 0
+      FROM w JOIN pl l ON l.doc_id = w.doc_id AND l.i = w.i + 1 JOIN ex ON ex.doc_id = w.doc_id AND ex.o = w.o AND ex.j = w.j + 1 WHERE w.i + w.j = cur - 1),
+    best AS (SELECT doc_id, o, cur, i, j, min(struct_pack(cost := cost, op := op)) AS b FROM to_ GROUP BY ALL)
+    SELECT doc_id, o, cur + 1, i, j, b.cost, CAST(b.op AS INTEGER) FROM best
+    UNION ALL SELECT doc_id, o, cur + 1, i, j, cost, op FROM w WHERE i + j = cur)),
+done AS (SELECT DISTINCT doc_id, o, i, j, cost, op FROM cells),
+back AS (
+  SELECT doc_id, o, n AS i, m AS j FROM dim
+  UNION ALL
+  SELECT b.doc_id, b.o, b.i - CASE WHEN op < 2 THEN 1 ELSE 0 END, b.j - CASE WHEN op <> 1 THEN 1 ELSE 0 END FROM back b JOIN done c USING (doc_id, o, i, j) WHERE b.i + b.j > 0),
+steps AS (SELECT b.doc_id, b.o, b.i, b.j, op FROM back b JOIN done c USING (doc_id, o, i, j) WHERE b.i + b.j > 0),
+ends AS (SELECT doc_id, o, cost FROM done JOIN dim USING (doc_id, o) WHERE i = n AND j = m),
+costs AS (SELECT r.doc_id, r.cost AS cost_rows, c.cost AS cost_columns, CASE WHEN c.cost < r.cost THEN 1 ELSE 0 END AS o FROM ends r JOIN ends c ON r.doc_id = c.doc_id AND r.o = 0 AND c.o = 1),
+pg AS (SELECT b.doc_id, CAST(coalesce(s.n, 0) AS INTEGER) AS n_lines, CAST(b.m AS INTEGER) AS n_boxes, coalesce(cost_rows, 0) AS cost_rows, coalesce(cost_columns, 0) AS cost_columns, coalesce(c.o, 0) AS o,
+  CAST(coalesce(t.matches, 0) AS INTEGER) AS matches
+  FROM (SELECT * FROM dims WHERE o = 0) b LEFT JOIN sums s USING (doc_id) LEFT JOIN costs c USING (doc_id) LEFT JOIN (SELECT doc_id, o, count(*) AS matches FROM steps WHERE op = 0 GROUP BY ALL) t ON t.doc_id = b.doc_id AND t.o = c.o),
+page AS (SELECT *, coalesce((matches = 0 AND n_lines > 1) OR (n_lines = 1 AND n_boxes >= {alignment.MANY_BOXES}), false) AS whole FROM pg),
+goes AS (SELECT doc_id, o, i, op, coalesce(last_value(CASE WHEN op = 0 THEN j END IGNORE NULLS) OVER (PARTITION BY doc_id, o ORDER BY i + j ROWS UNBOUNDED PRECEDING), 1) AS j FROM steps),
+texts AS (SELECT g.doc_id, ex.box_idx, string_agg(pl.text, ' ' ORDER BY g.i) AS text FROM goes g JOIN page p ON p.doc_id = g.doc_id AND p.o = g.o JOIN ex ON ex.doc_id = g.doc_id AND ex.o = g.o AND ex.j = g.j JOIN pl ON pl.doc_id = g.doc_id AND pl.i = g.i WHERE g.op < 2 GROUP BY ALL)"""
+
+
+@query("n02_dp_cost", sql(f"SELECT doc_id, n_lines, n_boxes, {SIX('cost_rows')} AS cost_rows, {SIX('cost_columns')} AS cost_columns, matches FROM page", _programme(), True))
 def _(spark, sf):
     found = alignment.aligned_pages(pages(spark, sf))
     return found.select("doc_id", "n_lines", "n_boxes", six(F.col("cost_rows")).alias("cost_rows"), six(F.col("cost_columns")).alias("cost_columns"), "matches")
 
 
-@query("a08_reading_order_choice")
+@query("a08_reading_order_choice", sql("SELECT doc_id, CASE WHEN o = 1 THEN 'columns' ELSE 'rows' END AS chosen, whole FROM page", _programme(), True))
 def _(spark, sf):
     return alignment.aligned_pages(pages(spark, sf)).select("doc_id", "chosen", "whole")
 
 
-@query("n04_align_text")
+@query("n04_align_text", sql("""SELECT b.doc_id, b.box_idx, coalesce(t.text, '') AS text FROM v_boxes b JOIN page p ON p.doc_id = b.doc_id AND NOT p.whole LEFT JOIN texts t ON t.doc_id = b.doc_id AND t.box_idx = b.box_idx
+  UNION ALL SELECT p.doc_id, -1, string_agg(l.text, chr(10) ORDER BY l.i) FROM page p JOIN pl l USING (doc_id) WHERE p.whole GROUP BY p.doc_id""", _programme(), True))
 def _(spark, sf):
     return alignment.aligned_text(page_lines(spark, sf), boxes(docs(spark, sf)), alignment.aligned_pages(pages(spark, sf)))
 
