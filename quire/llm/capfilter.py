@@ -140,3 +140,20 @@ def near_vectors(table: DataFrame, least: float = 0.98, reach: float = REACH) ->
     out = rows.where("vector is not null").join(named, ["label", "vector"]).select("vec_id", "n_links", "component_id")
     alone = rows.where("vector is null").select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"))
     return out.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
+
+
+ORACLE = """
+WITH RECURSIVE v AS (
+  SELECT row_number() OVER () AS n, vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
+ok AS (
+  SELECT *, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS norm FROM v
+  WHERE label IS NOT NULL AND e IS NOT NULL AND len(e) > 0 AND list_bool_and(list_transform(e, lambda x: x IS NOT NULL AND isfinite(x))) AND list_bool_or(list_transform(e, lambda x: x <> 0))),
+links AS (
+  SELECT a.n AS a, b.n AS b FROM ok a JOIN ok b ON a.label = b.label AND a.n <> b.n AND len(a.e) = len(b.e)
+  WHERE list_inner_product(a.e, b.e) / (a.norm * b.norm) >= 0.98::DOUBLE),
+reach AS (SELECT n, n AS m FROM v UNION SELECT r.n, l.b FROM reach r JOIN links l ON l.a = r.m),
+least AS (SELECT r.n, min(v.vec_id) AS component_id FROM reach r JOIN v ON v.n = r.m GROUP BY r.n),
+degree AS (SELECT a AS n, count(*) AS n_links FROM links GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, coalesce(vec_id = component_id, false) AS kept
+FROM v JOIN least USING (n) LEFT JOIN degree USING (n)
+"""
