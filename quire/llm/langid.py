@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.chargrams import batches, grams, inside
+from quire.llm.shared import text_batches
 
 BUCKETS = 65_521  # a prime
 ORDERS = (2, 3)
@@ -61,6 +62,7 @@ def train(docs: DataFrame, max_docs: int = 20_000, smoothing: float = 0.5, text_
 
     Whole texts count. Counts are summed by Spark; the driver gets one row per language and bucket.
     """
+    text_batches(docs.sparkSession)
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     n = rows.select(lang_col).count()
     if n > max_docs:

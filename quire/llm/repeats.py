@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.shared import written
+from quire.llm.shared import text_batches, written
 from quire.llm.suffixes import suffix_array
 
 LENGTH = 400
@@ -285,6 +285,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     `removed` lists the maximal runs as (start, end) in bytes. Null texts are empty, short ones keep everything; rows
     that repeat are copies of each other. Other columns are ignored; an empty table gives no rows.
     """
+    text_batches(docs.sparkSession)
     first = written(first_pass(docs, id_col, text_col), "spans")
     found = first.where("p >= 0").select("a", "s", "n1", "n2", "p", "w", "at")
     alike = found.groupBy("a", "s").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("n1", "n2", "p", "w", "at")).alias("one"))

@@ -25,6 +25,13 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def text_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Lowers the session's rows in an Arrow batch: whole texts are long, and batches take memory on both sides."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """`df` as a table in the shared folder: later stages read it, so a lost executor costs no recomputation."""
     path = new_folder(df.sparkSession, name)

@@ -22,6 +22,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quire.llm.shared import text_batches
+
 WINDOW = 8
 #: Literal words that a window needs, as a share of it; windows of placeholders say nothing.
 LITERAL = 0.5
@@ -189,6 +191,7 @@ def matches(texts: list[str | None], block: Block, words: Words) -> list[list[tu
 
 def blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> Iterator[Block]:
     """The benchmark in blocks of about BLOCK characters, dealt by a hash of the text."""
+    text_batches(benchmark.sparkSession)
     rows = benchmark.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("item_id"), F.col(text_col).alias("text"))
     total = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     parts = -(-total // BLOCK)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.files import mapped, write_whole
-from quire.llm.shared import new_folder
+from quire.llm.shared import new_folder, text_batches
 
 END = 0
 NO_ID = -(1 << 63)
@@ -126,6 +126,7 @@ def write_tokens(
     document ids come last and are stored as the least int64. An empty table gives an empty data set.
     """
     spark = docs.sparkSession
+    text_batches(spark)
     folder = folder or new_folder(spark, "tokens")
     shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
     at = [i / shards for i in range(1, shards)]

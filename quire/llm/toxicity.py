@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 
 from quire.llm.chargrams import BITS, batches, grams, inside
 from quire.llm.langid import fold
-from quire.llm.shared import written
+from quire.llm.shared import text_batches, written
 
 ORDER = 4
 DISCOUNT = 0.75
@@ -129,6 +129,7 @@ def labelled(docs: DataFrame, labels: DataFrame, max_rows: int) -> DataFrame:
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = 200_000) -> Model:
     """Counts folds 0 and 1 of the labelled rows, and fits the curve on fold 3; fold 2 is never looked at."""
+    text_batches(docs.sparkSession)
     rows = labelled(docs, labels, max_rows)
 
     def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -72,3 +72,45 @@ def test_groups_equal_brute_force(spark, seed):
 
 def test_empty_table(spark):
     assert simhash_groups(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def plain_similar(a, b, n=5):
+    def grams(t):
+        w = (t or "").lower().split()
+        return {" ".join(w[i : i + n]) for i in range(len(w) - n + 1)} or ({" ".join(w)} if w else set())
+
+    x, y = grams(a), grams(b)
+    return len(x & y) >= 0.8 * len(x | y)
+
+
+def test_distinct_documents(spark):
+    from quire.llm.simhash import distinct_documents
+
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(900)]
+    rows, groups = [], {}
+    for g in range(25):
+        base = [rng.choice(words) for _ in range(rng.choice([3, 40, 300, 600]))]
+        for k in range(rng.choice([1, 2, 5])):
+            copy = list(base)
+            if k % 3 == 1 and len(base) >= 300:
+                copy[rng.randrange(len(copy))] = "changed"
+            text = " ".join(copy) if k % 2 == 0 else "  ".join(copy).upper()
+            groups[len(rows)] = g
+            rows.append((len(rows), text, "clash"))
+    rows += [(900, None, "x"), (901, "", "x"), (902, " ", "x"), rows[0], (None, "all alone in here", "x"), (None, "all alone in here", "x")]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    out = distinct_documents(docs)
+    assert out.columns == docs.columns
+    kept = out.collect()
+    ids = [r.doc_id for r in kept]
+    assert len(ids) == len(set(ids)) and None in ids and 900 in ids and not {901, 902} & set(ids)
+    text = {r[0]: r[1] for r in rows}
+    for g in set(groups.values()):
+        assert min(i for i in groups if groups[i] == g) in ids
+    for i in groups:
+        if i not in ids:
+            assert any(groups[j] == groups[i] and j < i and plain_similar(text[i], text[j]) for j in groups)
+    exact = [i for i in groups if i not in ids]
+    assert all(i in exact for i in groups if any(j < i and text[j].lower().split() == text[i].lower().split() for j in groups))
+    assert distinct_documents(docs.limit(0)).collect() == []
