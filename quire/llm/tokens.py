@@ -23,7 +23,7 @@ from quire.llm.shared import new_folder, text_batches
 END = 0
 NO_ID = -(1 << 63)
 #: Pieces of text with known ids that a worker keeps; it starts afresh beyond.
-KNOWN = 600_000
+KNOWN = 1_200_000
 
 
 class Encoder:
