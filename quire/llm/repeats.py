@@ -34,7 +34,7 @@ ANCHORS = (200, 300, 360, 400)
 #: Different spans of one anchor that one suffix array takes.
 GROUP = 1024
 #: Letters of one suffix array, about; whole groups are put together.
-LETTERS = 60_000
+LETTERS = 12_000
 #: Bytes of one step of numpy work, about.
 STEP = 1 << 18
 
@@ -193,15 +193,17 @@ def repeated_starts(members: list[tuple[int, int, int, bytes]], k: int) -> list[
     text = np.concatenate(letters)
     order = suffix_array(text)
     size = LENGTH - k + 1
-    padded = np.concatenate([text, np.full(size, -1)])
-    equal = np.ones(len(order) - 1, bool)
-    for d in range(size):
-        left = np.flatnonzero(equal)
-        if not len(left):
-            break
-        equal[left] = padded[order[left] + d] == padded[order[left + 1] + d]
     found = np.zeros(len(text), bool)
-    pairs = np.flatnonzero(equal)
+    if len(text) < size:
+        return [found[:0]] * len(members)
+    # neighbours whose first letters hash alike, and then are alike
+    order = order[order <= len(text) - size]
+    hashes = substring_hashes(text, size)[order]
+    pairs = np.flatnonzero(hashes[1:] == hashes[:-1])
+    raw, step = text.tobytes(), text.itemsize
+    at = (order * step).tolist()
+    pairs = [i for i in pairs.tolist() if raw[at[i] : at[i] + size * step] == raw[at[i + 1] : at[i + 1] + size * step]]
+    pairs = np.array(pairs, np.int64)
     found[order[pairs]] = found[order[pairs + 1]] = True
     return [found[b : b + width] for b, (_, width, _, _) in zip(begins, members)]
 
