@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.functions import geometry as G
@@ -517,8 +517,8 @@ def pixels(spark, sf) -> DataFrame:
     return boxes(docs(spark, sf)).select("doc_id", "box_idx", "text", *((b[e] * F.lit(1700 if e[0] == "x" else 2200)).cast("int").alias(e) for e in G.EDGES))
 
 
-def in_order(item, order="box_idx"):
-    return F.to_json(F.expr("transform(array_sort(collect_list(struct(o, i))), x -> x.i)")) if item is None else F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), item.alias("i"))))
+def in_order(item: Column, order: str = "box_idx") -> Column:
+    return F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), item.alias("i"))))
 
 
 @query("t16_parse_freeform", sql(f"SELECT doc_id, box_idx AS block_idx, text, {UNIT} FROM good", SAID))
@@ -746,3 +746,130 @@ def _(spark, sf):
     pairs = found.where("pred_idx is not null").join(truth.select("doc_id", F.col("box_idx").alias("gt_idx"), F.col("text").alias("gt_text")), ["doc_id", "gt_idx"])
     pairs = pairs.join(predicted.select("doc_id", F.col("box_idx").alias("pred_idx"), F.col("text").alias("pred_text")), ["doc_id", "pred_idx"])
     return pairs.select("doc_id", "gt_idx", "pred_idx", similar(F.col("gt_text"), F.col("pred_text")).alias("similarity"))
+
+
+# --- reports, labels and the rest ------------------------------------------------
+
+
+@query("t18_data_url", "SELECT page_id, 'data:image/jpeg;base64,' || base64(encode(url)) AS url FROM pages")
+def _(spark, sf):
+    from quire.sources.models import data_url
+
+    return table(spark, sf, "pages").select("page_id", data_url(F.encode("url", "utf-8")).alias("url"))
+
+
+@query("t20_summary_line", sql("""SELECT doc_id, printf('%-20s gt=%-3d pipeline=%-3d matched=%-3d recall=%s', 'doc' || doc_id, gt_count, coalesce(pipeline_count, 0), matched, CASE WHEN matched = gt_count THEN 'all' ELSE 'part' END) AS line
+FROM (SELECT doc_id, count(*) AS gt_count, count(*) FILTER (iou >= 0.3::DOUBLE) AS matched FROM matches GROUP BY doc_id) LEFT JOIN (SELECT doc_id, count(*) AS pipeline_count FROM v_pred GROUP BY doc_id) USING (doc_id)""", GREEDY, True))
+def _(spark, sf):
+    found, _, predicted = matched(spark, sf)
+    full = F.when(F.col("matched") == F.col("gt_count"), "all").otherwise("part")
+    name = F.concat(F.lit("doc"), F.col("doc_id").cast("string"))
+    line = F.format_string("%-20s gt=%-3d pipeline=%-3d matched=%-3d recall=%s", name, "gt_count", "pipeline_count", "matched", full)
+    return matching.report(found, predicted).select("doc_id", line.alias("line"))
+
+
+@query("t23_progress_label", sql("SELECT doc_id % 50 AS job, CASE WHEN count(*) FILTER (dense) > 0 THEN 'OCR (' || count(*) FILTER (dense) || ' dense / ' || count(*) FILTER (NOT dense) || ' sparse)' ELSE 'OCR' END AS label FROM (SELECT doc_id, count(*) > 60 AS dense FROM v_boxes GROUP BY doc_id) GROUP BY doc_id % 50"))
+def _(spark, sf):
+    from quire.streaming.progress import reading_label
+
+    pages = refine.dense_pages(boxes(docs(spark, sf)))
+    return pages.groupBy((F.col("doc_id") % 50).alias("job")).agg(reading_label(F.count_if("dense"), F.count_if(~F.col("dense"))).alias("label"))
+
+
+@query("a01_boxes_per_page", sql(f"SELECT doc_id, count(*) AS n_boxes, greatest(1, CAST(sum(length(text)) AS BIGINT)) AS chars, {SIX('list_reduce(list(greatest(1e-6::DOUBLE, (x1 - x0) * (y1 - y0)) ORDER BY box_idx), lambda a, b: a + b)')} AS capacity FROM v_boxes GROUP BY doc_id"))
+def _(spark, sf):
+    held = boxes(docs(spark, sf)).withColumn("cap", G.capacity(F.col("box")))
+    total = F.expr("aggregate(array_sort(collect_list(struct(box_idx, cap))), 0D, (a, x) -> a + x.cap)")
+    return held.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_boxes"), F.greatest(F.lit(1), F.sum(F.length("text"))).cast("bigint").alias("chars"), six(total).alias("capacity"))
+
+
+PATHS = GREEDY + f""",
+bare AS (SELECT b.doc_id, b.box_idx, max(i.iou) AS iou FROM v_boxes b LEFT JOIN ious i ON i.doc_id = b.doc_id AND i.gt_idx = b.box_idx GROUP BY ALL)"""
+
+
+@query("a13_report_table", sql(f"""SELECT document, path, count(*) AS gt, count(*) FILTER (iou >= 0.3::DOUBLE) AS matched, {SIX('count(*) FILTER (iou >= 0.3::DOUBLE) / greatest(1, count(*))')} AS recall FROM (
+  SELECT doc_id % 20 AS document, 'hybrid' AS path, iou FROM matches UNION ALL SELECT doc_id % 20, 'grounded', coalesce(iou, 0) FROM bare) GROUP BY document, path""", PATHS, True))
+def _(spark, sf):
+    """One row for each document and path; the grounded path here lets boxes be taken again."""
+    found, truth, predicted = matched(spark, sf)
+    pairs = matching.meeting_pairs(truth.select("doc_id", "box_idx", "box"), predicted.select("doc_id", "box_idx", "box"))
+    best = pairs.groupBy("doc_id", F.col("l.box_idx").alias("box_idx")).agg(F.max(G.iou(F.col("l.box"), F.col("r.box"))).alias("iou"))
+    free = truth.select("doc_id", "box_idx").join(best, ["doc_id", "box_idx"], "left").select("doc_id", F.lit("grounded").alias("path"), F.coalesce("iou", F.lit(0.0)).alias("iou"))
+    both = found.select("doc_id", F.lit("hybrid").alias("path"), "iou").unionByName(free)
+    hit = F.count_if(F.col("iou") >= matching.THRESHOLD)
+    return both.groupBy((F.col("doc_id") % 20).alias("document"), "path").agg(F.count(F.lit(1)).alias("gt"), hit.alias("matched"), six(hit / F.greatest(F.lit(1), F.count(F.lit(1)))).alias("recall"))
+
+
+@query("a11_avg_text_similarity")
+def _(spark, sf):
+    """Mean similarity of matched texts for each document; 0 where nothing matched."""
+    from quire.operators.similarity import similar
+
+    found, truth, predicted = matched(spark, sf)
+    said = found.join(truth.select("doc_id", F.col("box_idx").alias("gt_idx"), F.col("text").alias("x")), ["doc_id", "gt_idx"])
+    said = said.join(predicted.select("doc_id", F.col("box_idx").alias("pred_idx"), F.col("text").alias("y")), ["doc_id", "pred_idx"], "left")
+    alike = F.when(F.col("pred_idx").isNotNull(), similar(F.col("x"), F.col("y")))
+    return said.select("doc_id", alike.alias("s")).groupBy("doc_id").agg(F.coalesce(F.avg("s"), F.lit(0.0)).alias("similarity"))
+
+
+@query("a20_blank_deviation", f"SELECT vec_id, {SIX('stddev_pop(v)')} AS deviation, stddev_pop(v) < 12 AS blank FROM (SELECT vec_id, CAST(floor(128 + 100 * CAST(unnest(embedding) AS DOUBLE)) AS INTEGER) AS v FROM embeddings) GROUP BY vec_id")
+def _(spark, sf):
+    from quire.sources.models import BLANK_DEVIATION
+
+    gray = table(spark, sf, "embeddings").select("vec_id", F.explode("embedding").alias("x")).select("vec_id", F.floor(F.col("x").cast("double") * 100 + 128).cast("int").alias("v"))
+    return gray.groupBy("vec_id").agg(six(F.stddev_pop("v")).alias("deviation"), (F.stddev_pop("v") < BLANK_DEVIATION).alias("blank"))
+
+
+@query("w06_completion_counter", "SELECT event_id, user_id, CAST(row_number() OVER w AS INTEGER) AS completed, count(*) OVER (PARTITION BY user_id) AS total FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)")
+def _(spark, sf):
+    w = Window.partitionBy("user_id")
+    return table(spark, sf, "events").select("event_id", "user_id", F.row_number().over(w.orderBy("ts", "event_id")).alias("completed"), F.count(F.lit(1)).over(w).alias("total"))
+
+
+@query("w08_first_box_per_tag", sql("SELECT doc_id, tag, first, coalesce(first >= lag(first) OVER (PARTITION BY doc_id ORDER BY tag), true) AS rising FROM (SELECT doc_id, substring(text, 1, 1) AS tag, min(box_idx) AS first FROM v_boxes GROUP BY ALL)"))
+def _(spark, sf):
+    first = boxes(docs(spark, sf)).groupBy("doc_id", F.substring("text", 1, 1).alias("tag")).agg(F.min("box_idx").alias("first"))
+    before = F.lag("first").over(Window.partitionBy("doc_id").orderBy("tag"))
+    return first.withColumn("rising", F.coalesce(F.col("first") >= before, F.lit(True)))
+
+
+@query("o06_head_and_tail", sql("SELECT doc_id, line_idx, text FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line_idx) AS a, row_number() OVER (PARTITION BY doc_id ORDER BY line_idx DESC) AS b FROM v_lines) WHERE a <= 10 OR b <= 5"))
+def _(spark, sf):
+    w = Window.partitionBy("doc_id")
+    held = lines(docs(spark, sf)).withColumn("a", F.row_number().over(w.orderBy("line_idx"))).withColumn("b", F.row_number().over(w.orderBy(F.desc("line_idx"))))
+    return held.where("a <= 10 or b <= 5").select("doc_id", "line_idx", "text")
+
+
+@query("u01_page_strategies", sql("SELECT b.doc_id, b.box_idx, CASE WHEN n > 60 THEN upper(substring(text, 1, 1)) ELSE substring(text, 1, 1) END AS text FROM v_boxes b WHERE ascii(substring(text, 1, 1)) < 128"))
+def _(spark, sf):
+    """Dense pages one way, sparse pages another, and their union."""
+    held = boxes(docs(spark, sf)).withColumn("text", F.substring("text", 1, 1)).where(F.ascii("text") < 128)
+    dense = refine.dense_pages(boxes(docs(spark, sf))).where("dense").select("doc_id")
+    one = held.join(dense, "doc_id", "left_semi").withColumn("text", F.upper("text"))
+    return one.unionByName(held.join(dense, "doc_id", "left_anti")).select("doc_id", "box_idx", "text")
+
+
+@query("u06_lost_lines", sql("SELECT doc_id, text FROM v_lines EXCEPT SELECT doc_id, text FROM v_lines WHERE (doc_id + line_idx) % 3 <> 2"))
+def _(spark, sf):
+    return lines(docs(spark, sf)).select("doc_id", "text").subtract(page_lines(spark, sf).select("doc_id", "text"))
+
+
+@query("j02_page_boxes", sql(f"SELECT d.doc_id, d.lang, b.box_idx, {FLAT} FROM documents d JOIN v_boxes b USING (doc_id)"))
+def _(spark, sf):
+    found = table(spark, sf, "documents")
+    return flat(found.select("doc_id", "lang").join(boxes(found).select("doc_id", "box_idx", "box"), "doc_id"))
+
+
+@query("k07_job_texts", "SELECT conv_id, '{' || string_agg('\"' || turn || '\":[' || CAST(to_json(t) AS VARCHAR) || ']', ',' ORDER BY turn) || '}' AS text FROM (SELECT conv_id, turn, string_agg(replace(text, '/', '|'), ' ' ORDER BY text) AS t FROM conversations GROUP BY ALL) GROUP BY conv_id")
+def _(spark, sf):
+    from quire.sources.sinks import job_texts
+
+    said = table(spark, sf, "conversations").groupBy("conv_id", F.col("turn").alias("page_index")).agg(F.array_join(F.array_sort(F.collect_list(F.replace("text", F.lit("/"), F.lit("|")))), " ").alias("text"))
+    return job_texts(said.withColumn("line_idx", F.lit(0)), "conv_id")
+
+
+@query("k09_draw_commands", sql("SELECT doc_id, box_idx, " + ", ".join(f"CAST(trunc({e} * {1275 if e[0] == 'x' else 1650}) AS INTEGER) AS {e}" for e in G.EDGES) + ", CASE WHEN x1 - x0 > 0.03::DOUBLE AND y1 - y0 > 0.008::DOUBLE THEN 'green' ELSE 'red' END AS colour FROM v_boxes"))
+def _(spark, sf):
+    from quire.sources.sinks import draw_commands
+
+    return draw_commands(boxes(docs(spark, sf)), 1275, 1650)

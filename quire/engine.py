@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import os
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -30,6 +31,11 @@ class Settings:
     dense_threshold: int = refining.DENSE
     dense_mode: str = "auto"
 
+    @classmethod
+    def of_service(cls) -> Settings:
+        """What a service runs with: concurrency from the environment, three calls at once unless it says otherwise."""
+        return cls(concurrency=int(os.environ.get("OCR_CONCURRENCY", 3)))
+
     def __post_init__(self) -> None:
         if self.dense_mode not in refining.MODES:
             raise ValueError(f"dense_mode must be one of {refining.MODES}, not {self.dense_mode!r}")

@@ -31,6 +31,11 @@ def landing(spark: SparkSession, folder: str, per_batch: int = 100) -> DataFrame
     return _named(stream.load(folder))
 
 
+def read_fixtures(spark: SparkSession, path: str) -> DataFrame:
+    """(doc_id, raw): each file's JSON as one text, for the parsers of answers and of ground truth."""
+    return spark.read.text(path, wholetext=True).select(F.xxhash64("_metadata.file_path").alias("doc_id"), F.col("value").alias("raw"))
+
+
 class Rasterizer(Protocol):
     """Turns files into page images."""
 

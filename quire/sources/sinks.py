@@ -68,6 +68,13 @@ def fixture(blocks: DataFrame, sizes: DataFrame, name: Column, keys: str = "doc_
     return listed.join(dims, keys).select(keys, F.to_json(F.struct(inner.alias("data"))).alias("json"))
 
 
+def draw_commands(boxes: DataFrame, width: int, height: int) -> DataFrame:
+    """(doc_id, box_idx, x0, y0, x1, y1, colour): boxes in pixels, for whoever draws them over a page."""
+    b = F.col("box")
+    px = [(b[e] * F.lit(width if e[0] == "x" else height)).cast("int").alias(e) for e in G.EDGES]
+    return boxes.select("doc_id", "box_idx", *px, F.when(G.refinable(b), "green").otherwise("red").alias("colour"))
+
+
 # --- PDF -------------------------------------------------------------------------
 
 

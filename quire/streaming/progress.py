@@ -22,3 +22,8 @@ def latest(events: DataFrame) -> DataFrame:
     """(job_id, stage, percent, message) of each job's last event; works on streams in complete or update mode."""
     last = events.groupBy("job_id").agg(F.max_by(F.struct("stage", "current", "total", "message"), "seq").alias("e"))
     return last.select("job_id", "e.stage", percent(F.col("e.stage"), F.col("e.current"), F.col("e.total")).alias("percent"), "e.message")
+
+
+def reading_label(dense: Column, sparse: Column) -> Column:
+    """What a job is at while it reads pages."""
+    return F.when(dense > 0, F.format_string("OCR (%d dense / %d sparse)", dense, sparse)).otherwise(F.lit("OCR"))

@@ -112,6 +112,20 @@ def test_command_line():
     assert (s.pages, s.refine, s.dense_mode, s.dpi, s.max_image_dim, s.dense_threshold) == ("1-3", False, "never", 200, 1024, 60)
 
 
+def test_service_settings(monkeypatch):
+    monkeypatch.delenv("OCR_CONCURRENCY", raising=False)
+    assert engine.Settings.of_service().concurrency == 3
+    monkeypatch.setenv("OCR_CONCURRENCY", "7")
+    assert engine.Settings.of_service().concurrency == 7
+
+
+def test_fixture_files_are_read_whole(spark, tmp_path):
+    from quire.sources.documents import read_fixtures
+
+    (tmp_path / "a.json").write_text('{\n "data": {}\n}')
+    assert [r.raw for r in read_fixtures(spark, str(tmp_path)).collect()] == ['{\n "data": {}\n}']
+
+
 def test_landing_folder_and_progress_as_streams(spark, folder, tmp_path):
     seen = str(tmp_path / "seen")
     query = landing(spark, folder).select("doc_id", "is_image").writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start(seen)
