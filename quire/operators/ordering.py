@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+# Fixed values
 GAP = 0.2
 LEAST = 4
 #: Centres lie in 0..1 and each split takes a gap of GAP or more.

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quire.functions import geometry as G
 from quire.functions import text as X
 
+# Fixed values
 RADIUS = 4
 DENSE = 60
 MODES = ("auto", "always", "never")
