@@ -23,7 +23,7 @@ from quire.llm.shared import new_folder, text_batches
 END = 0
 NO_ID = -(1 << 63)
 #: Pieces of text with known ids that a worker keeps; it starts afresh beyond.
-KNOWN = 1_200_000
+KNOWN = 1_000_000
 
 
 class Encoder:
@@ -147,7 +147,7 @@ def write_tokens(
                 )
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = {"shard": None, "n": 0}
+        _encoders.clear()  # all texts are encoded by now; what a worker remembers of them would stay
         names: list[int] = []
         sizes: list[int] = []
         unpack = zstandard.ZstdDecompressor()
@@ -157,7 +157,6 @@ def write_tokens(
 
         def chunks():
             for batch in (b for part in ([first], batches) for b in part):
-                held["shard"] = batch.column(1)[0].as_py() if batch.num_rows else held["shard"]
                 names.extend(NO_ID if x is None else x for x in batch.column(0).to_pylist())
                 sizes.extend(batch.column(2).to_pylist())
                 for x in batch.column(3):
