@@ -34,9 +34,10 @@ class Encoder:
     with other white space around a space go through it as a whole.
     """
 
-    def __init__(self, vocabulary: str):
+    def __init__(self, vocabulary: str, remember: int):
         from tokenizers import Tokenizer
 
+        self.remember = remember
         self.tokenizer = Tokenizer.from_file(vocabulary)
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.kind = np.dtype("<u2") if self.size <= 1 << 16 else np.dtype("<u4")
@@ -90,7 +91,7 @@ class Encoder:
         firsts = [p[0] if p else "" for p in split]
         rest = [p[1:] for p in split]
         new = set().union(*rest).difference(self.known)
-        if len(self.known) + len(new) > KNOWN:
+        if len(self.known) + len(new) > self.remember:
             self.known.clear()
             new = set().union(*rest)
         if odd := {x for x in new if not x or x[0].isspace() or x[-1].isspace()}:
@@ -104,26 +105,27 @@ class Encoder:
         return [whole[i] + self.end if i in whole else b"".join((begun[firsts[i]], *map(known, p), self.end)) for i, p in enumerate(rest)]
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple[str, int], Encoder] = {}
 
 
-def encoder(vocabulary: str) -> Encoder:
-    if vocabulary not in _encoders:
+def encoder(vocabulary: str, remember: int = KNOWN) -> Encoder:
+    if (vocabulary, remember) not in _encoders:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        _encoders[vocabulary] = Encoder(vocabulary)
-    return _encoders[vocabulary]
+        _encoders[vocabulary, remember] = Encoder(vocabulary, remember)
+    return _encoders[vocabulary, remember]
 
 
 def write_tokens(
-    docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", folder: str | None = None, shards: int | None = None
+    docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", folder: str | None = None, shards: int | None = None, remember: int = KNOWN
 ) -> DataFrame:
     """Writes the data set and returns its manifest (shard, n_docs, n_tokens, base, folder, kind): one row per shard.
 
     Shards are ranges of ids between quantiles. Texts are encoded before rows move, so that ids travel, compressed.
     Null texts are empty; each document ends with id 0. Rows with equal ids are ordered by their length and ids; null
-    document ids come last and are stored as the least int64. An empty table gives an empty data set.
+    document ids come last and are stored as the least int64. An empty table gives an empty data set. A worker
+    remembers the ids of up to `remember` pieces of text: more of them take memory and save time, nothing else.
     """
     spark = docs.sparkSession
     text_batches(spark)
@@ -135,7 +137,7 @@ def write_tokens(
     shards = len(cuts) + 1
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of, pack = encoder(vocabulary), zstandard.ZstdCompressor(level=1)
+        of, pack = encoder(vocabulary, remember), zstandard.ZstdCompressor(level=1)
         for batch in batches:
             for i in range(0, batch.num_rows, 512):
                 some = batch.slice(i, 512)
@@ -173,8 +175,9 @@ def write_tokens(
     dealt = encoded.repartitionById(shards, "shard").sortWithinPartitions(F.col("doc_id").asc_nulls_last(), "n", "ids")
     # one row per shard: the only thing that comes to the driver
     manifest = sorted(dealt.mapInArrow(write, "shard int, n_docs bigint, n_tokens bigint").collect())
+    kind_of_ids = Encoder(vocabulary, 0).kind.str
     bases = np.cumsum([0, *(x.n_tokens for x in manifest)])
-    rows = [(x.shard, x.n_docs, x.n_tokens, int(b), folder, encoder(vocabulary).kind.str) for x, b in zip(manifest, bases)]
+    rows = [(x.shard, x.n_docs, x.n_tokens, int(b), folder, kind_of_ids) for x, b in zip(manifest, bases)]
     made = spark.createDataFrame(rows, "shard int, n_docs bigint, n_tokens bigint, base bigint, folder string, kind string").repartition(max(1, len(rows)))
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
