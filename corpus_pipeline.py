@@ -42,7 +42,8 @@ def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     from quire.llm.tokens import read_tokens, write_tokens
 
-    return read_tokens(write_tokens(docs, public_tokenizers.path("byte_bpe_50k.json")))
+    # workers keep what earlier stages took of their memory, so that fewer pieces are remembered than could be
+    return read_tokens(write_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"), remember=250_000))
 
 
 STAGES = [
