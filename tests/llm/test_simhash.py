@@ -114,3 +114,17 @@ def test_distinct_documents(spark):
     exact = [i for i in groups if i not in ids]
     assert all(i in exact for i in groups if any(j < i and text[j].lower().split() == text[i].lower().split() for j in groups))
     assert distinct_documents(docs.limit(0)).collect() == []
+
+
+def test_repeats_do_not_hide_near_copies(spark):
+    from quire.llm.simhash import distinct_documents
+
+    rng = random.Random(8)
+    rows = []
+    for i in range(40):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(104)]
+        line = words[:14]
+        rows += [(2 * i, " ".join(words), ""), (2 * i + 1, " ".join(line * 20 + words), "")]
+    assert all(plain_similar(a[1], b[1]) for a, b in zip(rows[::2], rows[1::2]))
+    kept = distinct_documents(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted(r.doc_id for r in kept) == list(range(0, 80, 2))
