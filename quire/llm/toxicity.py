@@ -91,22 +91,22 @@ def curve(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
-def fitted(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
-    """Logistic regression by Newton steps; a feature that would count against toxicity is left out."""
+def fitted(x: np.ndarray, y: np.ndarray, count: np.ndarray, ridge: float = 1.0) -> np.ndarray:
+    """Logistic regression by Newton steps, rows counting `count` times; a feature that would count against toxicity is left out."""
     on = np.ones(x.shape[1], bool)
     while True:
         w = np.zeros(x.shape[1])
-        w[on] = newton(x[:, on], y, ridge)
+        w[on] = newton(x[:, on], y, count, ridge)
         if not (against := (w[1:] < 0)).any():
             return w
         on[1 + int(np.argmin(np.where(against, w[1:], 0)))] = False
 
 
-def newton(x: np.ndarray, y: np.ndarray, ridge: float) -> np.ndarray:
+def newton(x: np.ndarray, y: np.ndarray, count: np.ndarray, ridge: float) -> np.ndarray:
     w, penalty = np.zeros(x.shape[1]), ridge * np.diag([1e-3] + [1.0] * (x.shape[1] - 1))
     for _ in range(50):
         p = curve(x @ w)
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + penalty, x.T @ (y - p) - penalty @ w)
+        step = np.linalg.solve((x * (count * p * (1 - p))[:, None]).T @ x + penalty, x.T @ (count * (y - p)) - penalty @ w)
         w += np.clip(step, -5, 5)
         if np.abs(step).max() < 1e-8:
             break
@@ -114,17 +114,20 @@ def newton(x: np.ndarray, y: np.ndarray, ridge: float) -> np.ndarray:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, max_rows: int) -> DataFrame:
-    """(text, fold, toxic) of at most `max_rows` labelled rows of folds 0, 1 and 3, half of each class at most.
+    """(text, fold, toxic, stands_for) of at most `max_rows` labelled rows of folds 0, 1 and 3, half of each class at most.
 
-    Rows are chosen by a hash of their id; an id with several labels is toxic if any of them says so. The chosen ids
+    `stands_for` is the class's count over that of its sample, so that weighted rows have the class shares of all labels. Rows are chosen by a hash of their id; an id with several labels is toxic if any of them says so. The chosen ids
     are at most `max_rows` pairs of numbers, which is what is broadcast.
     """
     known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = known.select("doc_id", "toxic", fold(F.col("doc_id")).alias("fold")).where("fold <> 2")
     order = [F.xxhash64(F.lit("toxicity"), "doc_id"), "doc_id"]
-    chosen = [known.where(what).orderBy(*order).limit(max_rows // 2) for what in ("toxic > 0", "toxic <= 0")]
+    classes = ("toxic > 0", "toxic <= 0")
+    counts = known.agg(*(F.count_if(F.expr(what)) for what in classes)).first()
+    share = [max(1.0, n / max(1, max_rows // 2)) for n in counts]
+    chosen = [known.where(what).orderBy(*order).limit(max_rows // 2).withColumn("stands_for", F.lit(x)) for what, x in zip(classes, share)]
     chosen = written(chosen[0].unionByName(chosen[1]), "labels")
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "fold", (F.col("toxic") > 0).cast("int").alias("toxic"))
+    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "fold", (F.col("toxic") > 0).cast("int").alias("toxic"), "stands_for")
 
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = 200_000) -> Model:
@@ -169,15 +172,17 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 200_000) -> Model:
     def feature(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             x = shared.value.features(batch.column(0).to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column(1), *(pa.array(x[:, i]) for i in range(3))], ["toxic", "a", "b", "c"])
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), *(pa.array(x[:, i]) for i in range(3))], ["toxic", "stands_for", "a", "b", "c"])
 
-    got = rows.where("fold = 3").select("text", "toxic").mapInArrow(feature, "toxic int, a double, b double, c double").toArrow()
+    got = rows.where("fold = 3").select("text", "toxic", "stands_for").mapInArrow(feature, "toxic int, stands_for double, a double, b double, c double").toArrow()
     y = got.column("toxic").to_numpy().astype(np.float64)
+    count = got.column("stands_for").to_numpy()
+    base = float(np.average(y, weights=count)) if len(y) else 0.0
     if not len(y) or y.min() == y.max() or not gram.check.any():
-        return Model(gram, context, None, float(y.mean()) if len(y) else 0.0)
+        return Model(gram, context, None, base)
     x = np.stack([got.column(c).to_numpy() for c in "abc"], axis=1)
-    order = np.lexsort([*x.T, y])  # the same sums whatever the order of arrival
-    return Model(gram, context, fitted(shaped(x[order]), y[order]), float(y.mean()))
+    order = np.lexsort([*x.T, count, y])  # the same sums whatever the order of arrival
+    return Model(gram, context, fitted(shaped(x[order]), y[order], count[order]), base)
 
 
 def ratios(seen: DataFrame) -> tuple[Ratios, Ratios]:

@@ -94,3 +94,22 @@ def test_no_labels(spark):
     assert [(r.toxicity, r.toxic_predicted) for r in score_toxicity(docs, model).collect()] == [(0.0, 0)]
     one_class = train(docs, spark.createDataFrame([(1, 1, 1)], LABELS))
     assert 0 <= score_toxicity(docs, one_class).first().toxicity <= 1
+
+
+def test_sampled_classes_keep_their_shares(spark):
+    rng = random.Random(9)
+
+    def mixed(i):  # a word that both classes use, so that scores are not all at an end
+        words = made(rng, False, 12).split()
+        return " ".join(words + ["vexgrob"] * (rng.random() < (0.6 if i % 20 == 0 else 0.04)))
+
+    docs = spark.createDataFrame([(i, mixed(i), "n", "f") for i in range(6000)], DOCS).repartition(3)
+    labels = spark.createDataFrame([(i, 1, int(i % 20 == 0)) for i in range(6000)], LABELS)
+    scores = []
+    for max_rows in (200_000, 600):
+        model = train(docs, labels, max_rows)
+        x = model.score([r.text for r in docs.select("text").collect()])
+        scores.append((model.base, x.mean(), x))
+    (base, mean, _), (less, thin, _) = scores
+    assert abs(base - less) < 0.02 and abs(mean - 0.05) < 0.02
+    assert abs(mean - thin) < 0.03
