@@ -4,7 +4,7 @@ The toxic and the ordinary model count 4-grams of their own class, within words,
 continuation counts over both classes, so that an expression that a class has not seen counts by its context alone:
 there the shared part cancels out of the ratio and only the two backoff weights remain. What scoring needs is thus one
 number for each seen 4-gram and one for each seen context, log P(toxic model) - log P(ordinary model), kept in two
-tables of fixed size. Log-likelihoods are compared by word and over the text, divided by its length; a logistic curve,
+tables of as many rows as there are keys. Log-likelihoods are compared by word and over the text, divided by its length; a logistic curve,
 fitted on labelled rows that the models have not counted, turns the comparison into a score.
 """
 
@@ -25,26 +25,44 @@ from quire.llm.shared import text_batches, written
 
 ORDER = 4
 DISCOUNT = 0.75
-#: Slots of the table of 4-grams and of the one of contexts (primes); each slot takes 5 bytes.
-SLOTS, CONTEXT_SLOTS = 2_097_143, 524_287
-CHECKS = 251
+MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 #: A word's log ratio counts as an excess above this.
 MARGIN = 3.0
 
 
 @dataclass
 class Ratios:
-    """Log ratios by slot, with a check value that tells most other keys of the slot apart."""
+    """Log ratios of all keys, in buckets by a hash; a key takes 12 bytes, and 8 to 16 more for the buckets' starts."""
 
-    check: np.ndarray
+    first: np.ndarray  # of each bucket, and the end
+    key: np.ndarray
     value: np.ndarray
 
+    @staticmethod
+    def made(key: np.ndarray, value: np.ndarray) -> Ratios:
+        buckets = 1 << max(1, (2 * len(key)).bit_length())
+        own = Ratios.bucket(key, buckets)
+        order = np.lexsort([key, own])
+        first = np.concatenate([[0], np.cumsum(np.bincount(own, minlength=buckets))]).astype(np.uint32)
+        return Ratios(first, key[order], value[order].astype(np.float32))
+
+    @staticmethod
+    def bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
+        return (keys.astype(np.uint64) * MULTIPLIER >> np.uint64(65 - buckets.bit_length())).astype(np.int64)
+
     def of(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        n = len(self.value)
-        high = keys // n
-        slot = keys - high * n
-        hit = self.check[slot] == high % CHECKS + 1
-        return hit, self.value[slot]
+        hit, value = np.zeros(len(keys), bool), np.zeros(len(keys), np.float32)
+        own = self.bucket(keys, len(self.first) - 1)
+        at, end = self.first[own], self.first[own + 1]
+        left = np.flatnonzero(at < end)
+        at, end, wanted = at[left], end[left], keys[left]
+        while len(left):
+            same = self.key[at] == wanted
+            hit[left[same]] = True
+            value[left[same]] = self.value[at[same]]
+            more = ~same & (at + 1 < end)
+            left, at, end, wanted = left[more], at[more] + 1, end[more], wanted[more]
+        return hit, value
 
 
 @dataclass
@@ -178,7 +196,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 200_000) -> Model:
     y = got.column("toxic").to_numpy().astype(np.float64)
     count = got.column("stands_for").to_numpy()
     base = float(np.average(y, weights=count)) if len(y) else 0.0
-    if not len(y) or y.min() == y.max() or not gram.check.any():
+    if not len(y) or y.min() == y.max() or not len(gram.key):
         return Model(gram, context, None, base)
     x = np.stack([got.column(c).to_numpy() for c in "abc"], axis=1)
     order = np.lexsort([*x.T, count, y])  # the same sums whatever the order of arrival
@@ -186,7 +204,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 200_000) -> Model:
 
 
 def ratios(seen: DataFrame) -> tuple[Ratios, Ratios]:
-    """The two tables, from (gram, toxic, ordinary): one row a slot comes to the driver at most."""
+    """The two tables, from (gram, toxic, ordinary): one row a key comes to the driver."""
     contexts = seen.groupBy(F.shiftright("gram", BITS).alias("context")).agg(
         F.sum("toxic").alias("n1"), F.count_if(F.col("toxic") > 0).alias("k1"),
         F.sum("ordinary").alias("n0"), F.count_if(F.col("ordinary") > 0).alias("k0"),
@@ -206,22 +224,15 @@ def ratios(seen: DataFrame) -> tuple[Ratios, Ratios]:
     by_gram = (
         seen.join(contexts, F.shiftright("gram", BITS) == F.col("context"))
         .join(shared, suffix == F.col("suffix"))
-        .select(F.col("gram").alias("key"), (F.col("toxic") + F.col("ordinary")).alias("n"), F.log(chance("toxic", "n1", "k1") / chance("ordinary", "n0", "k0")).alias("value"))
+        .select(F.col("gram").alias("key"), F.log(chance("toxic", "n1", "k1") / chance("ordinary", "n0", "k0")).alias("value"))
     )
-    by_context = contexts.select(F.col("context").alias("key"), (F.col("n1") + F.col("n0")).alias("n"), F.log(weight("n1", "k1") / weight("n0", "k0")).alias("value"))
-
-    def slotted(df: DataFrame, slots: int) -> Ratios:
-        best = F.max(F.struct("n", "key", "value")).alias("best")
-        got = df.groupBy(F.pmod("key", F.lit(slots)).cast("int").alias("slot")).agg(best).select(
-            "slot", F.expr(f"cast((best.key div {slots}) % {CHECKS} + 1 as int)").alias("check"), F.col("best.value").cast("float").alias("value")
-        ).toArrow()
-        out = Ratios(np.zeros(slots, np.uint8), np.zeros(slots, np.float32))
-        at = got.column("slot").to_numpy()
-        out.check[at] = got.column("check").to_numpy()
-        out.value[at] = got.column("value").to_numpy()
-        return out
+    by_context = contexts.select(F.col("context").alias("key"), F.log(weight("n1", "k1") / weight("n0", "k0")).alias("value"))
+
+    def table(df: DataFrame) -> Ratios:
+        got = df.select("key", F.col("value").cast("float").alias("value")).toArrow()
+        return Ratios.made(got.column("key").to_numpy(), got.column("value").to_numpy())
 
-    return slotted(by_gram, SLOTS), slotted(by_context, CONTEXT_SLOTS)
+    return table(by_gram), table(by_context)
 
 
 def score_toxicity(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.3) -> DataFrame:

@@ -113,3 +113,14 @@ def test_sampled_classes_keep_their_shares(spark):
     (base, mean, _), (less, thin, _) = scores
     assert abs(base - less) < 0.02 and abs(mean - 0.05) < 0.02
     assert abs(mean - thin) < 0.03
+
+
+def test_every_gram_is_kept(spark):
+    slots = 2_097_143  # these keys once shared a slot
+    rows = [(number("abcd") + k * slots, 50 if k == 3 else 1, 3 * k) for k in range(40)]
+    gram, context = ratios(spark.createDataFrame(rows, "gram bigint, toxic bigint, ordinary bigint"))
+    hit, value = gram.of(np.array([g for g, _, _ in rows] + [number("abcd") + 1, 0], np.int64))
+    assert list(hit) == [True] * 40 + [False] * 2 and np.isfinite(value).all()
+    assert context.of(np.array(sorted({g >> BITS for g, _, _ in rows})))[0].all()
+    empty = ratios(spark.createDataFrame([], "gram bigint, toxic bigint, ordinary bigint"))[0]
+    assert not empty.of(np.array([5, 6], np.int64))[0].any()
