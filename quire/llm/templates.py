@@ -6,6 +6,9 @@ windows. Windows of one item that match a text at one offset are taken together,
 the same benchmark value always to the same text value and back. So a question asked again with other numbers or names
 is caught, and a chance meeting of placeholders is not.
 
+A second lookup takes the plain words, without placeholders, of every item and window, so that verbatim copies are
+found however few literal words they have. Characters of scripts without spaces are words of their own.
+
 The benchmark is taken in blocks of bounded size; each block is one pass over the texts.
 """
 
@@ -33,6 +36,8 @@ MATCHES = 3
 BLOCK = 16_000_000
 #: Different words that a worker remembers.
 KNOWN = 250_000
+#: The lookup without placeholders; the typed one (0) comes before it.
+PLAIN = 1
 
 # Fixed values
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~“”‘’«»…–—¿¡"
@@ -42,6 +47,8 @@ UNITS = {"kg", "g", "mg", "lb", "lbs", "oz", "km", "m", "cm", "mm", "mi", "ft",
 NUMBER, UNIT, NAME, NOTHING = 1, 2, 3, 0
 _number = re.compile(r"[+-]?\d[\d.,:/]*")
 _glued = re.compile(r"\d[\d.,]*([^\W\d_]+)")
+# Thai to Myanmar, Khmer, kana, Han
+_unspaced = re.compile("([\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3041-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff])")
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15 | 1)
 # The low bits of a word's number say what it is; the rest is its hash.
 CAPITAL, ENDS, IS_UNIT, IS_NUMBER = 1, 2, 4, 8
@@ -53,13 +60,18 @@ def word_number(word: str) -> int:
     ends = ENDS if word.rstrip("\"'”’)»")[-1:] in SENTENCE_ENDS and word.rstrip("\"'”’)»") else 0
     if not core:
         return ends  # hash zero: no word
-    if _number.fullmatch(core) or ((m := _glued.fullmatch(core)) and m[1].lower() in UNITS):
-        return ends | IS_NUMBER | 1 << 62
     low = core.lower()
     hashed = xxhash.xxh64_intdigest(low.encode("utf-8", "surrogatepass"), 7) & ~15 | 1 << 63
+    if _number.fullmatch(core) or ((m := _glued.fullmatch(core)) and m[1].lower() in UNITS):
+        return hashed | ends | IS_NUMBER
     return hashed | ends | (CAPITAL if core[0].isupper() else 0) | (IS_UNIT if low in UNITS else 0)
 
 
+def words_of(text: str | None) -> list[str]:
+    text = text or ""
+    return (text if text.isascii() else _unspaced.sub(r" \1 ", text)).split()
+
+
 class Words(dict):
     """Word numbers, remembered."""
 
@@ -78,6 +90,10 @@ class Template:
     kinds: np.ndarray
     places: np.ndarray
     starts: np.ndarray  # one for each text, and the end
+    plain: np.ndarray  # hashes without placeholders
+
+    def lookups(self) -> tuple[tuple[np.ndarray, np.ndarray], ...]:
+        return (self.hashes, self.kinds), (self.plain, self.kinds)
 
 
 def template(split: list[list[str]], words: Words) -> Template:
@@ -92,14 +108,15 @@ def template(split: list[list[str]], words: Words) -> Template:
     after_number = np.zeros(len(raw), bool)
     after_number[1:] = (flags[:-1] & IS_NUMBER) > 0
     after_number[first] = False
+    plain = raw & ~FLAGS
     kinds = np.zeros(len(raw), np.uint8)
     kinds[((flags & CAPITAL) > 0) & ~after_end & ~first] = NAME
     kinds[((flags & IS_UNIT) > 0) & after_number] = UNIT
     kinds[(flags & IS_NUMBER) > 0] = NUMBER
-    hashes = np.where(kinds > 0, kinds.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93), raw & ~FLAGS)
-    keep = (raw & ~FLAGS) > 0
+    hashes = np.where(kinds > 0, kinds.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93), plain)
+    keep = plain > 0
     kept = np.concatenate([[0], np.cumsum(keep)])
-    return Template(hashes[keep], kinds[keep], places[keep], kept[offsets])
+    return Template(hashes[keep], kinds[keep], places[keep], kept[offsets], plain[keep])
 
 
 def windows(hashes: np.ndarray, n: int) -> np.ndarray:
@@ -114,52 +131,57 @@ def windows(hashes: np.ndarray, n: int) -> np.ndarray:
 
 @dataclass
 class Block:
-    """A block of the benchmark: its windows by length."""
+    """A block of the benchmark: its windows by lookup (typed, plain) and length; kinds and totals by lookup."""
 
     items: list[int]
     words: list[list[str]]
-    kinds: list[np.ndarray]
-    totals: list[int]
+    kinds: list[tuple[np.ndarray, ...]]
+    totals: list[tuple[int, ...]]
     length: list[int]
-    by_length: dict[int, tuple[np.ndarray, dict[int, list[tuple[int, int]]], np.ndarray]] = field(default_factory=dict)
+    by_length: dict[tuple[int, int], tuple[np.ndarray, dict[int, list[tuple[int, int]]], np.ndarray]] = field(default_factory=dict)
 
 
 def block_of(rows: list[tuple[int, str]]) -> Block:
     known = Words()
     out = Block([], [], [], [], [])
-    found: dict[int, dict[int, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
+    found: dict[tuple[int, int], dict[int, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
     for item, text in rows:
-        split = (text or "").split()
+        split = words_of(text)
         t = template([split], known)
         n = min(WINDOW, len(t.hashes))
-        if n < 3:
+        if not n:
             continue
-        i = len(out.items)
-        hashes = windows(t.hashes, n)
-        literal = np.convolve(t.kinds == 0, np.ones(n), "valid") >= LITERAL * n
-        for at in np.flatnonzero(literal):
-            found[n][int(hashes[at])].append((i, int(at)))
+        i, totals = len(out.items), []
+        for lookup, (hashes, kinds) in enumerate(t.lookups()):
+            if lookup == PLAIN:
+                wanted = np.ones(len(hashes) - n + 1, bool)
+            else:
+                wanted = (np.convolve(kinds == 0, np.ones(n), "valid") >= LITERAL * n) & (n >= 3)
+            hashes = windows(hashes, n)
+            for at in np.flatnonzero(wanted):
+                found[lookup, n][int(hashes[at])].append((i, int(at)))
+            totals.append(int(wanted.sum()))
         out.items.append(item)
         out.words.append([split[p].strip(PUNCTUATION).lower() for p in t.places])
-        out.kinds.append(t.kinds)
-        out.totals.append(int(literal.sum()))
+        out.kinds.append(tuple(kinds for _, kinds in t.lookups()))
+        out.totals.append(tuple(totals))
         out.length.append(n)
     for n, where in found.items():
         keys = np.array(sorted(where), np.uint64)
-        bits = np.zeros(1 << 22, bool)
-        bits[(keys & np.uint64((1 << 22) - 1)).astype(np.int64)] = True
+        bits = np.zeros(1 << min(22, 8 + len(keys).bit_length()), bool)
+        bits[(keys & np.uint64(len(bits) - 1)).astype(np.int64)] = True
         out.by_length[n] = (keys, dict(where), bits)
     return out
 
 
 def matches(texts: list[str | None], block: Block, words: Words) -> list[list[tuple[int, int, int, int, int, bool]]]:
     """For each text, (item, windows matched, windows of the item, first word, slots, slots with other values) of each item found."""
-    split = [(t or "").split() for t in texts]
+    split = [words_of(t) for t in texts]
     t = template(split, words)
-    hits: list[dict[tuple[int, int], set[int]]] = [defaultdict(set) for _ in texts]
-    for n, (keys, where, bits) in block.by_length.items():
-        hashes = windows(t.hashes, n)
-        near = np.flatnonzero(bits[(hashes & np.uint64((1 << 22) - 1)).astype(np.int64)])
+    hits: list[dict[tuple[int, int, int], set[int]]] = [defaultdict(set) for _ in texts]
+    for (lookup, n), (keys, where, bits) in block.by_length.items():
+        hashes = windows(t.lookups()[lookup][0], n)
+        near = np.flatnonzero(bits[(hashes & np.uint64(len(bits) - 1)).astype(np.int64)])
         at = np.searchsorted(keys, hashes[near])
         at[at == len(keys)] = 0
         near = near[keys[at] == hashes[near]]
@@ -167,25 +189,25 @@ def matches(texts: list[str | None], block: Block, words: Words) -> list[list[tu
         whole = near + n <= t.starts[own + 1]
         for p, d in zip(near[whole].tolist(), own[whole].tolist()):
             for item, start in where[int(hashes[p])]:
-                hits[d][item, p - int(t.starts[d]) - start].add(start)
+                hits[d][lookup, item, p - int(t.starts[d]) - start].add(start)
     out: list[list[tuple[int, int, int, int, int, bool]]] = []
     for d, found in enumerate(hits):
         best: dict[int, tuple] = {}
-        for (item, shift), starts in found.items():
-            n, total = block.length[item], block.totals[item]
+        for (lookup, item, shift), starts in found.items():
+            n, total = block.length[item], block.totals[item][lookup]
             if len(starts) < min(MATCHES, total):
                 continue
             to, back, slots, other, fits = {}, {}, 0, 0, True
             for p in sorted({s + k for s in starts for k in range(n)}):
-                if block.kinds[item][p]:
+                if block.kinds[item][lookup][p]:
                     mine = split[d][t.places[t.starts[d] + shift + p]].strip(PUNCTUATION).lower()
                     theirs = block.words[item][p]
                     slots, other = slots + 1, other + (mine != theirs)
                     fits &= to.setdefault(theirs, mine) == mine and back.setdefault(mine, theirs) == theirs
             if fits:
-                row = (len(starts), -int(t.places[t.starts[d] + shift + min(starts)]), slots, other)
+                row = (-lookup, len(starts), -int(t.places[t.starts[d] + shift + min(starts)]), slots, other)
                 best[item] = max(best.get(item, row), row)
-        out.append([(block.items[i], n, block.totals[i], -first, slots, other > 0) for i, (n, first, slots, other) in sorted(best.items())])
+        out.append([(block.items[i], n, block.totals[i][-lookup], -first, slots, other > 0) for i, (lookup, n, first, slots, other) in sorted(best.items())])
     return out
 
 
@@ -202,8 +224,9 @@ def blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text"
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, item_id, n_windows, item_windows, first_word, n_slots, other_values): one row per text and item in it.
 
-    Null texts and items match nothing, nor do items of fewer than three words. An item with a null id keeps it. Where
-    an item is met at several offsets, the one with most windows counts, then the first. Rows that repeat are found as
+    Null texts and items match nothing, nor do items without words; items of fewer than three words match verbatim only.
+    An item with a null id keeps it. Windows are counted in the first lookup that finds the item (typed, plain);
+    where it is met at several offsets, the one with most windows counts, then the first. Rows that repeat are found as
     often; other columns are ignored; empty tables give no rows.
     """
     kind = docs.schema[id_col].dataType.simpleString()

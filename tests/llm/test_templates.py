@@ -74,3 +74,10 @@ def test_query_equals_brute_force(spark):
     assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted((r for r in rows if r[0] not in hit), key=str)
     assert leaks(docs.limit(0), bench).collect() == [] and leaks(docs, bench.limit(0)).collect() == []
     assert without_leaks(docs, bench.limit(0)).count() == len(rows)
+
+
+def test_verbatim_copies_are_always_found():
+    for item in ("Compute 12 + 34 * 56 - 78", "What Is The Capital Of France", "3 5 8 13 21 34 55 89 144 233 377", "Paris", "Why not?", "水的沸点是多少度"):
+        assert one(f"Words before it, {item}, and after", [(1, item)]) == [(1, False)]
+    assert one("Compute 13 + 34 * 56 - 78", [(1, "Compute 12 + 34 * 56 - 78")]) == []
+    assert one("前面有字水的沸点是多少度后面也有", [(1, "水的沸点是多少度")]) == [(1, False)]
