@@ -6,8 +6,10 @@ windows. Windows of one item that match a text at one offset are taken together,
 the same benchmark value always to the same text value and back. So a question asked again with other numbers or names
 is caught, and a chance meeting of placeholders is not.
 
-A second lookup takes the plain words, without placeholders, of every item and window, so that verbatim copies are
-found however few literal words they have. Characters of scripts without spaces are words of their own.
+Two more lookups stand beside it. One takes every capitalised word as a name, wherever it stands, so that what comes
+before an item doesn't matter and names may begin sentences. The other takes the plain words, without placeholders, of
+every item and window, so that verbatim copies are found however few literal words they have. Characters of scripts
+without spaces are words of their own.
 
 The benchmark is taken in blocks of bounded size; each block is one pass over the texts.
 """
@@ -36,8 +38,8 @@ MATCHES = 3
 BLOCK = 16_000_000
 #: Different words that a worker remembers.
 KNOWN = 250_000
-#: The lookup without placeholders; the typed one (0) comes before it.
-PLAIN = 1
+#: The lookup without placeholders; typed (0) and wide (1) come before it.
+PLAIN = 2
 
 # Fixed values
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~“”‘’«»…–—¿¡"
@@ -90,10 +92,12 @@ class Template:
     kinds: np.ndarray
     places: np.ndarray
     starts: np.ndarray  # one for each text, and the end
+    wide: np.ndarray  # hashes and kinds with every capitalised word as a name
+    wide_kinds: np.ndarray
     plain: np.ndarray  # hashes without placeholders
 
     def lookups(self) -> tuple[tuple[np.ndarray, np.ndarray], ...]:
-        return (self.hashes, self.kinds), (self.plain, self.kinds)
+        return (self.hashes, self.kinds), (self.wide, self.wide_kinds), (self.plain, self.kinds)
 
 
 def template(split: list[list[str]], words: Words) -> Template:
@@ -109,14 +113,20 @@ def template(split: list[list[str]], words: Words) -> Template:
     after_number[1:] = (flags[:-1] & IS_NUMBER) > 0
     after_number[first] = False
     plain = raw & ~FLAGS
-    kinds = np.zeros(len(raw), np.uint8)
-    kinds[((flags & CAPITAL) > 0) & ~after_end & ~first] = NAME
-    kinds[((flags & IS_UNIT) > 0) & after_number] = UNIT
-    kinds[(flags & IS_NUMBER) > 0] = NUMBER
-    hashes = np.where(kinds > 0, kinds.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93), plain)
+
+    def typed(names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        kinds = np.zeros(len(raw), np.uint8)
+        kinds[names] = NAME
+        kinds[((flags & IS_UNIT) > 0) & after_number] = UNIT
+        kinds[(flags & IS_NUMBER) > 0] = NUMBER
+        return np.where(kinds > 0, kinds.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93), plain), kinds
+
+    capital = (flags & CAPITAL) > 0
+    hashes, kinds = typed(capital & ~after_end & ~first)
+    wide, wide_kinds = typed(capital)
     keep = plain > 0
     kept = np.concatenate([[0], np.cumsum(keep)])
-    return Template(hashes[keep], kinds[keep], places[keep], kept[offsets], plain[keep])
+    return Template(hashes[keep], kinds[keep], places[keep], kept[offsets], wide[keep], wide_kinds[keep], plain[keep])
 
 
 def windows(hashes: np.ndarray, n: int) -> np.ndarray:
@@ -131,7 +141,7 @@ def windows(hashes: np.ndarray, n: int) -> np.ndarray:
 
 @dataclass
 class Block:
-    """A block of the benchmark: its windows by lookup (typed, plain) and length; kinds and totals by lookup."""
+    """A block of the benchmark: its windows by lookup (typed, wide, plain) and length; kinds and totals by lookup."""
 
     items: list[int]
     words: list[list[str]]
@@ -225,7 +235,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     """(doc_id, item_id, n_windows, item_windows, first_word, n_slots, other_values): one row per text and item in it.
 
     Null texts and items match nothing, nor do items without words; items of fewer than three words match verbatim only.
-    An item with a null id keeps it. Windows are counted in the first lookup that finds the item (typed, plain);
+    An item with a null id keeps it. Windows are counted in the first lookup that finds the item (typed, wide, plain);
     where it is met at several offsets, the one with most windows counts, then the first. Rows that repeat are found as
     often; other columns are ignored; empty tables give no rows.
     """

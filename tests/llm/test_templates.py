@@ -81,3 +81,13 @@ def test_verbatim_copies_are_always_found():
         assert one(f"Words before it, {item}, and after", [(1, item)]) == [(1, False)]
     assert one("Compute 13 + 34 * 56 - 78", [(1, "Compute 12 + 34 * 56 - 78")]) == []
     assert one("前面有字水的沸点是多少度后面也有", [(1, "水的沸点是多少度")]) == [(1, False)]
+
+
+def test_what_comes_before_does_not_matter():
+    item = "Which river flows past the old town of Anna?"
+    for before in ("A heading\n", "- ", "Question 5 ", "he asked, ", "\"", ""):
+        assert one(f"{before}{item}", [(1, item)]) == [(1, False)]
+        assert one(f"{before}{item.replace('Anna', 'Bert')}", [(1, item)]) == [(1, True)]
+    item = "John has 5 apples. Mary has 3 apples. How many apples do they have together?"
+    assert one("So: Peter has 6 apples. Paul has 4 apples. How many apples do they have together?", [(1, item)]) == [(1, True)]
+    assert one("Peter has 6 apples. Peter has 4 apples. How", [(1, item)]) == []
