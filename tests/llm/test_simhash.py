@@ -128,3 +128,15 @@ def test_repeats_do_not_hide_near_copies(spark):
     assert all(plain_similar(a[1], b[1]) for a, b in zip(rows[::2], rows[1::2]))
     kept = distinct_documents(spark.createDataFrame(rows, SCHEMA)).collect()
     assert sorted(r.doc_id for r in kept) == list(range(0, 80, 2))
+
+
+def test_texts_count_not_ids(spark):
+    from quire.llm.simhash import distinct_documents
+
+    rng = random.Random(10)
+    text = lambda: " ".join(f"w{rng.randrange(10**6)}" for _ in range(200))
+    a, b, c, d, e = (text() for _ in range(5))
+    rows = [(None, a, ""), (None, b, ""), (None, b.upper(), ""), (7, c, ""), (7, d, ""), (8, d + " more", ""), (9, a + " more", ""), (10, e, "")]
+    kept = distinct_documents(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()
+    want = [(None, a), (None, b), (7, c), (7, d), (10, e)]
+    assert sorted(((r.doc_id, r.text.lower()) for r in kept), key=str) == sorted(want, key=str)
