@@ -17,7 +17,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of copies and near copies."""
-    from quire.llm.simhash import distinct_documents
+    from quire.llm.neardup import distinct_documents
 
     return distinct_documents(docs)
 

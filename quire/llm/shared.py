@@ -40,14 +40,25 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """`name`, with underscores before it until no column of `df` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Components of the undirected graph with edges (a long, b long): (node, component), component being its least node.
 
-    Alternates large-star and small-star steps, each of which is grouped minima joined back to the edges, so that a
-    hub's edges are never gathered in one place. Nodes are those with an edge to another node; nulls have none.
-    Rounds grow with the logarithm of the longest path.
+    Alternates large-star and small-star steps, each of which is grouped minima joined back to the edges. The minima
+    are shuffled again for the join, since only then can Spark split a hub's edges over tasks (adaptive skew join).
+    Nodes are those with an edge to another node; nulls have none. Rounds grow with the logarithm of the longest path.
     """
 
+    def apart(least: DataFrame) -> DataFrame:
+        return least.select((F.col("a") + F.lit(0)).alias("of"), "m")
+
     def mark(table: DataFrame) -> tuple:
         row = table.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b") % 1_000_003)).first()
         return tuple(row)
@@ -62,14 +73,14 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = (
-            both.join(least, "a")
+            both.join(apart(least), F.col("a") == F.col("of"))
             .where("b > a")
             .select(F.col("b").alias("a"), F.col("m").alias("b"))
             .where("a <> b")
             .distinct()
         )
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        met = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        met = large.join(apart(least), F.col("a") == F.col("of")).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         after = written(met.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "edges")
         marked = mark(after)
         now, same = after, marked == seen

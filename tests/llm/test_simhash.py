@@ -84,7 +84,7 @@ def plain_similar(a, b, n=5):
 
 
 def test_distinct_documents(spark):
-    from quire.llm.simhash import distinct_documents
+    from quire.llm.neardup import distinct_documents
 
     rng = random.Random(3)
     words = [f"w{i}" for i in range(900)]
@@ -117,7 +117,7 @@ def test_distinct_documents(spark):
 
 
 def test_repeats_do_not_hide_near_copies(spark):
-    from quire.llm.simhash import distinct_documents
+    from quire.llm.neardup import distinct_documents
 
     rng = random.Random(8)
     rows = []
@@ -131,7 +131,7 @@ def test_repeats_do_not_hide_near_copies(spark):
 
 
 def test_texts_count_not_ids(spark):
-    from quire.llm.simhash import distinct_documents
+    from quire.llm.neardup import distinct_documents
 
     rng = random.Random(10)
     text = lambda: " ".join(f"w{rng.randrange(10**6)}" for _ in range(200))
@@ -140,3 +140,80 @@ def test_texts_count_not_ids(spark):
     kept = distinct_documents(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()
     want = [(None, a), (None, b), (7, c), (7, d), (10, e)]
     assert sorted(((r.doc_id, r.text.lower()) for r in kept), key=str) == sorted(want, key=str)
+
+
+def test_recall_of_similar_pairs(spark):
+    """Isolated pairs at a similarity from 0.8 on, of 6 to 300 shingles: of all pairs 0.9 and more are found."""
+    from quire.llm.neardup import distinct_documents
+
+    rng = random.Random(12)
+    rows = []
+    for i in range(240):
+        n = rng.choice([10, 16, 30, 60, 120, 300])
+        a = [f"w{rng.randrange(10**6)}" for _ in range(n)]
+        b, last = list(a), a[:-1]
+        while True:
+            if rng.random() < 0.5:
+                b = b[:-1]
+            else:
+                b[rng.randrange(len(b))] = f"w{rng.randrange(10**6)}"
+            if not plain_similar(" ".join(a), " ".join(b)):
+                break
+            last = list(b)
+            if rng.random() < 0.1:
+                break
+        b = last
+        rows += [(2 * i, " ".join(a), ""), (2 * i + 1, " ".join(b), "")]
+    assert all(plain_similar(x[1], y[1]) for x, y in zip(rows[::2], rows[1::2]))
+    kept = {r.doc_id for r in distinct_documents(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()}
+    assert set(range(0, 480, 2)) <= kept
+    short = {2 * i + 1 for i in range(240) if len(rows[2 * i][1].split()) <= 36}
+    assert not short & kept  # the least shingles of few miss nothing
+    assert len(kept) - 240 <= 0.1 * (240 - len(short))
+
+
+def components_of(texts):
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if find(i) != find(j) and plain_similar(texts[i], texts[j]):
+                root[max(find(i), find(j))] = min(find(i), find(j))
+    return [find(i) for i in range(len(texts))]
+
+
+@pytest.mark.parametrize("unit", [(2048, 8192), (5, 11)])
+def test_large_group_of_near_copies(spark, monkeypatch, unit):
+    """Many near copies of one text, about half of them linked with none: groups equal those of all pairs."""
+    from quire.llm import neardup
+
+    monkeypatch.setattr(neardup, "UNIT", unit)
+    rng = random.Random(13)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(120)]
+    texts = []
+    for _ in range(150):
+        copy = list(base)
+        for at in rng.sample(range(120), rng.randint(1, 6)):
+            copy[at] = f"x{rng.randrange(10**6)}"
+        texts.append(" ".join(copy))
+    want = sorted(set(components_of(texts)))
+    assert 10 < len(want) < 140
+    docs = spark.createDataFrame([(i, t, "") for i, t in enumerate(texts)], SCHEMA).repartition(5)
+    found = sorted(r.doc_id for r in neardup.distinct_documents(docs).collect())
+    assert set(want) <= set(found) and len(found) <= 1.02 * len(want) + 1
+
+
+def test_any_ids_and_clashing_columns(spark):
+    from quire.llm.neardup import distinct_documents
+
+    rows = [("b", "one two three", "n", 1, 2), ("a", "one  two THREE", "n", 3, 4), (None, None, "n", 5, 6), (None, "", "n", 5, 6), ("c", "long " * 30_000 + "end", "n", 7, 8)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, key string, h1 int, __n int")
+    out = distinct_documents(docs)
+    assert out.columns == docs.columns
+    found = sorted((tuple(r) for r in out.collect()), key=str)
+    assert {(r[0], r[3], r[4]) for r in found} == {("a", 3, 4), (None, 5, 6), ("c", 7, 8)} and len(found) == 3
