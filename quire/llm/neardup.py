@@ -27,11 +27,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quire.llm.shared import connected_components, free_name, text_batches, written
+from quire.llm.shared import connected_components, free_name, text_batches, text_hashes, written
 
 SEED = 42
 #: Bits that may differ, of 512: 77 are expected at a similarity of 0.8, with a deviation of 8.
-TAU = 96
+TAU = 92
 #: Rings, by their steps, and the chains on them, by the segments that they begin with.
 STEPS = (1, 3, 5, 7, 9, 11)
 CHAINS = np.array([[(t + s * k) % 64 for k in range(8)] for s in STEPS for t in range(0, 64, 2)])
@@ -118,11 +118,6 @@ def prints(docs: DataFrame, ident: Column, text: Column, n: int) -> DataFrame:
     return rows.mapInArrow(each, f"id {kind}, h1 bigint, h2 bigint, key binary, size int, print binary, least binary")
 
 
-def text_hashes(text: Column) -> tuple[Column, Column]:
-    text = F.coalesce(text, F.lit(""))
-    return F.xxhash64(text).alias("h1"), F.xxhash64(F.lit("text"), text).alias("h2")
-
-
 def lookups(nodes: DataFrame) -> DataFrame:
     """(key, node, chain): a row for each chain of a node, with its eight segments, and for each of its least shingles."""
 

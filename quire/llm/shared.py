@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -48,6 +48,12 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def text_hashes(text: Column) -> tuple[Column, Column]:
+    """Two independent hashes of a text, h1 and h2; null counts as empty."""
+    text = F.coalesce(text, F.lit(""))
+    return F.xxhash64(text).alias("h1"), F.xxhash64(F.lit("text"), text).alias("h2")
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Components of the undirected graph with edges (a long, b long): (node, component), component being its least node.
 

@@ -1,45 +1,46 @@
 """Benchmark decontamination by template canonicalisation.
 
-Words lose surrounding punctuation and case; numbers, units after numbers, and capitalised words inside a sentence
-(names) become typed placeholders. Every window of WINDOW template words is hashed and looked up among the benchmark's
-windows. Windows of one item that match a text at one offset are taken together, and their slots must map one to one:
-the same benchmark value always to the same text value and back. So a question asked again with other numbers or names
-is caught, and a chance meeting of placeholders is not.
-
-Two more lookups stand beside it. One takes every capitalised word as a name, wherever it stands, so that what comes
-before an item doesn't matter and names may begin sentences. The other takes the plain words, without placeholders, of
-every item and window, so that verbatim copies are found however few literal words they have. Characters of scripts
-without spaces are words of their own.
-
-The benchmark is taken in blocks of bounded size; each block is one pass over the texts.
+Words lose surrounding punctuation and case; numbers, units after numbers, and runs of capitalised words inside a
+sentence (names) become typed placeholders. Every window of WINDOW template words is hashed and joined with the
+benchmark's windows. Windows of one item that match a text at one offset are taken together, and their slots must map
+one to one: the same benchmark value always to the same text value and back. So a question asked again with other
+numbers or names is caught, and a chance meeting of placeholders is not.
+
+Two more lookups stand beside it. One takes every capitalised word as part of a name, wherever it stands, so that what
+comes before an item doesn't matter and names may begin sentences. The other takes the plain words, without
+placeholders, of every item and window, so that verbatim copies are found however few literal words they have.
+Characters of scripts without spaces are words of their own.
+
+Both sides of the join are tables. The texts pass by once: a bitmap of the benchmark's window hashes, of MAP_BITS at
+most, is broadcast, and only windows that may match leave the texts, with the values in their slots. The bitmap prunes
+and decides nothing; what it lets through by chance fails in the join, whose frequent windows Spark splits over tasks.
 """
 
 from __future__ import annotations
 
 import re
-from collections import defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.shared import text_batches
+from quire.llm.shared import free_name, text_batches, text_hashes, written
 
 WINDOW = 8
 #: Literal words that a window needs, as a share of it; windows of placeholders say nothing.
 LITERAL = 0.5
 #: Windows of an item that must match a text, or all if it has fewer.
 MATCHES = 3
-#: Characters of benchmark text in one block.
-BLOCK = 16_000_000
+#: Bits of the bitmap at most (16 MB); there are 64 for each window up to there.
+MAP_BITS = 1 << 27
 #: Different words that a worker remembers.
 KNOWN = 250_000
-#: The lookup without placeholders; typed (0) and wide (1) come before it.
-PLAIN = 2
+#: The lookups: names inside sentences, names anywhere, no placeholders.
+TYPED, WIDE, PLAIN = LOOKUPS = (0, 1, 2)
 
 # Fixed values
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~“”‘’«»…–—¿¡"
@@ -86,21 +87,17 @@ class Words(dict):
 
 @dataclass
 class Template:
-    """Template words of texts end to end: hash, kind (0 for literal words), the word's place in its text's split."""
+    """Template words of texts end to end, in one of the lookups."""
 
     hashes: np.ndarray
-    kinds: np.ndarray
-    places: np.ndarray
+    kinds: np.ndarray  # 0 for literal words
+    values: np.ndarray  # what stands there, a number for each different run of words
+    places: np.ndarray  # the first word's place in its text's split
     starts: np.ndarray  # one for each text, and the end
-    wide: np.ndarray  # hashes and kinds with every capitalised word as a name
-    wide_kinds: np.ndarray
-    plain: np.ndarray  # hashes without placeholders
 
-    def lookups(self) -> tuple[tuple[np.ndarray, np.ndarray], ...]:
-        return (self.hashes, self.kinds), (self.wide, self.wide_kinds), (self.plain, self.kinds)
 
-
-def template(split: list[list[str]], words: Words) -> Template:
+def templates(split: list[list[str]], words: Words) -> list[Template]:
+    """The texts' template in each lookup."""
     sizes = [len(x) for x in split]
     raw = np.fromiter((words[w] for x in split for w in x), np.uint64, sum(sizes))
     offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
@@ -113,167 +110,164 @@ def template(split: list[list[str]], words: Words) -> Template:
     after_number[1:] = (flags[:-1] & IS_NUMBER) > 0
     after_number[first] = False
     plain = raw & ~FLAGS
-
-    def typed(names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        kinds = np.zeros(len(raw), np.uint8)
-        kinds[names] = NAME
-        kinds[((flags & IS_UNIT) > 0) & after_number] = UNIT
-        kinds[(flags & IS_NUMBER) > 0] = NUMBER
-        return np.where(kinds > 0, kinds.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93), plain), kinds
-
     capital = (flags & CAPITAL) > 0
-    hashes, kinds = typed(capital & ~after_end & ~first)
-    wide, wide_kinds = typed(capital)
-    keep = plain > 0
-    kept = np.concatenate([[0], np.cumsum(keep)])
-    return Template(hashes[keep], kinds[keep], places[keep], kept[offsets], wide[keep], wide_kinds[keep], plain[keep])
+    is_word = plain > 0
+    owner = np.repeat(np.arange(len(split)), sizes)[is_word]
+    out = []
+    for lookup in LOOKUPS:
+        kinds = np.zeros(len(raw), np.uint8)
+        if lookup != PLAIN:
+            kinds[capital if lookup == WIDE else capital & ~after_end & ~first] = NAME
+            kinds[((flags & IS_UNIT) > 0) & after_number] = UNIT
+            kinds[(flags & IS_NUMBER) > 0] = NUMBER
+        kind, value = kinds[is_word], plain[is_word]
+        begins = np.ones(len(kind), bool)  # a run of words of a name is one template word
+        begins[1:] = (kind[1:] != NAME) | (kind[:-1] != NAME) | (owner[1:] != owner[:-1])
+        at = np.flatnonzero(begins)
+        inside = np.arange(len(kind)) - np.repeat(at, np.diff(np.append(at, len(kind))))
+        value = np.add.reduceat(value * (2 * inside.astype(np.uint64) + np.uint64(1)), at) if len(at) else value
+        kind = kind[at]
+        hashes = np.where(kind > 0, kind.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93), value)
+        starts = np.searchsorted(owner[at], np.arange(len(split) + 1))
+        out.append(Template(hashes, kind, value.view(np.int64), places[is_word][at], starts))
+    return out
 
 
-def windows(hashes: np.ndarray, n: int) -> np.ndarray:
-    """The hash of the n words from each position on."""
+def windows(hashes: np.ndarray, n: int, lookup: int = TYPED) -> np.ndarray:
+    """The hash of the n words from each position on; those of other lookups or lengths differ."""
     if len(hashes) < n:
-        return np.zeros(0, np.uint64)
-    out = np.zeros(len(hashes) - n + 1, np.uint64)
+        return np.zeros(0, np.int64)
+    out = np.full(len(hashes) - n + 1, 16 * lookup + n, np.uint64)
     for k in range(n):
         out = out * MULTIPLIER + hashes[k : len(hashes) - n + 1 + k]
-    return out ^ out >> np.uint64(32)
-
-
-@dataclass
-class Block:
-    """A block of the benchmark: its windows by lookup (typed, wide, plain) and length; kinds and totals by lookup."""
-
-    items: list[int]
-    words: list[list[str]]
-    kinds: list[tuple[np.ndarray, ...]]
-    totals: list[tuple[int, ...]]
-    length: list[int]
-    by_length: dict[tuple[int, int], tuple[np.ndarray, dict[int, list[tuple[int, int]]], np.ndarray]] = field(default_factory=dict)
-
-
-def block_of(rows: list[tuple[int, str]]) -> Block:
-    known = Words()
-    out = Block([], [], [], [], [])
-    found: dict[tuple[int, int], dict[int, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
-    for item, text in rows:
-        split = words_of(text)
-        t = template([split], known)
-        n = min(WINDOW, len(t.hashes))
-        if not n:
-            continue
-        i, totals = len(out.items), []
-        for lookup, (hashes, kinds) in enumerate(t.lookups()):
-            if lookup == PLAIN:
-                wanted = np.ones(len(hashes) - n + 1, bool)
-            else:
-                wanted = (np.convolve(kinds == 0, np.ones(n), "valid") >= LITERAL * n) & (n >= 3)
-            hashes = windows(hashes, n)
-            for at in np.flatnonzero(wanted):
-                found[lookup, n][int(hashes[at])].append((i, int(at)))
-            totals.append(int(wanted.sum()))
-        out.items.append(item)
-        out.words.append([split[p].strip(PUNCTUATION).lower() for p in t.places])
-        out.kinds.append(tuple(kinds for _, kinds in t.lookups()))
-        out.totals.append(tuple(totals))
-        out.length.append(n)
-    for n, where in found.items():
-        keys = np.array(sorted(where), np.uint64)
-        bits = np.zeros(1 << min(22, 8 + len(keys).bit_length()), bool)
-        bits[(keys & np.uint64(len(bits) - 1)).astype(np.int64)] = True
-        out.by_length[n] = (keys, dict(where), bits)
-    return out
-
-
-def matches(texts: list[str | None], block: Block, words: Words) -> list[list[tuple[int, int, int, int, int, bool]]]:
-    """For each text, (item, windows matched, windows of the item, first word, slots, slots with other values) of each item found."""
-    split = [words_of(t) for t in texts]
-    t = template(split, words)
-    hits: list[dict[tuple[int, int, int], set[int]]] = [defaultdict(set) for _ in texts]
-    for (lookup, n), (keys, where, bits) in block.by_length.items():
-        hashes = windows(t.lookups()[lookup][0], n)
-        near = np.flatnonzero(bits[(hashes & np.uint64(len(bits) - 1)).astype(np.int64)])
-        at = np.searchsorted(keys, hashes[near])
-        at[at == len(keys)] = 0
-        near = near[keys[at] == hashes[near]]
-        own = np.searchsorted(t.starts, near, "right") - 1
-        whole = near + n <= t.starts[own + 1]
-        for p, d in zip(near[whole].tolist(), own[whole].tolist()):
-            for item, start in where[int(hashes[p])]:
-                hits[d][lookup, item, p - int(t.starts[d]) - start].add(start)
-    out: list[list[tuple[int, int, int, int, int, bool]]] = []
-    for d, found in enumerate(hits):
-        best: dict[int, tuple] = {}
-        for (lookup, item, shift), starts in found.items():
-            n, total = block.length[item], block.totals[item][lookup]
-            if len(starts) < min(MATCHES, total):
-                continue
-            to, back, slots, other, fits = {}, {}, 0, 0, True
-            for p in sorted({s + k for s in starts for k in range(n)}):
-                if block.kinds[item][lookup][p]:
-                    mine = split[d][t.places[t.starts[d] + shift + p]].strip(PUNCTUATION).lower()
-                    theirs = block.words[item][p]
-                    slots, other = slots + 1, other + (mine != theirs)
-                    fits &= to.setdefault(theirs, mine) == mine and back.setdefault(mine, theirs) == theirs
-            if fits:
-                row = (-lookup, len(starts), -int(t.places[t.starts[d] + shift + min(starts)]), slots, other)
-                best[item] = max(best.get(item, row), row)
-        out.append([(block.items[i], n, block.totals[i][-lookup], -first, slots, other > 0) for i, (lookup, n, first, slots, other) in sorted(best.items())])
-    return out
-
-
-def blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> Iterator[Block]:
-    """The benchmark in blocks of about BLOCK characters, dealt by a hash of the text."""
-    text_batches(benchmark.sparkSession)
-    rows = benchmark.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("item_id"), F.col(text_col).alias("text"))
-    total = rows.agg(F.sum(F.length("text"))).first()[0] or 0
-    parts = -(-total // BLOCK)
-    for i in range(parts):
-        yield block_of([(x.item_id, x.text) for x in rows.where(F.pmod(F.xxhash64("text", "item_id"), F.lit(parts)) == i).collect()])
+    out = (out ^ out >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
+    return (out ^ out >> np.uint64(29)).view(np.int64)
+
+
+def item_windows(items: DataFrame) -> DataFrame:
+    """The windows of (item, item_id, text): hash, item, lookup, its words, start, kinds, values, the item's windows in all."""
+    kind = items.schema["item_id"].dataType.simpleString()
+    names = ["item", "item_id", "lookup", "n", "total", "start", "hash", "kinds", "theirs"]
+
+    def each(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Words()
+        for batch in it:
+            rows: list[tuple] = []
+            for i, text in enumerate(batch.column(2).to_pylist()):
+                for lookup, t in enumerate(templates([words_of(text)], words)):
+                    n = min(WINDOW, len(t.hashes))
+                    if not n:
+                        continue
+                    wanted = np.ones(len(t.hashes) - n + 1, bool)
+                    if lookup != PLAIN:
+                        wanted = (np.convolve(t.kinds == 0, np.ones(n), "valid") >= LITERAL * n) & (n >= 3)
+                    hashes = windows(t.hashes, n, lookup)
+                    total = int(wanted.sum())
+                    rows += [(i, lookup, n, total, s, int(hashes[s]), t.kinds[s : s + n].tolist(), t.values[s : s + n].tolist()) for s in np.flatnonzero(wanted).tolist()]
+                    if len(rows) > 20_000:
+                        yield made(batch, rows)
+                        rows = []
+            if rows:
+                yield made(batch, rows)
+
+    def made(batch: pa.RecordBatch, rows: list[tuple]) -> pa.RecordBatch:
+        own, *columns = zip(*rows)
+        types = [pa.int32()] * 4 + [pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64())]
+        at = pa.array(own, pa.int64())
+        return pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *(pa.array(c, t) for c, t in zip(columns, types))], names)
+
+    schema = f"item bigint, item_id {kind}, lookup int, n int, total int, start int, hash bigint, kinds array<int>, theirs array<bigint>"
+    return items.mapInArrow(each, schema)
+
+
+def bitmap(wanted: DataFrame) -> tuple[np.ndarray, int]:
+    """(words, bits) of a bitmap with two bits for each window hash; at most MAP_BITS / 64 words come to the driver."""
+    n = wanted.select(F.approx_count_distinct("hash")).first()[0]
+    bits = min(MAP_BITS, 1 << max(10, (64 * n).bit_length()))
+    both = wanted.select(F.explode(F.array(F.expr(f"hash & {bits - 1}L"), F.expr(f"shiftrightunsigned(hash, 32) & {bits - 1}L"))).alias("bit"))
+    found = both.groupBy(F.shiftright("bit", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(bit & 63 as int)))").alias("set")).toArrow()
+    out = np.zeros(bits >> 6, np.int64)
+    out[found.column("word").to_numpy()] = found.column("set").to_numpy()
+    return out, bits
+
+
+def text_windows(docs: DataFrame, text: Column, wanted: DataFrame) -> DataFrame:
+    """(h1, h2, hash, at, place, mine): windows of texts that may be among the wanted ones; h1 and h2 name the text."""
+    lookups = [tuple(r) for r in wanted.select("lookup", "n").distinct().collect()]  # 24 at most
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap(wanted))
+
+    def each(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Words()
+        filled, bits = shared.value
+        seen = lambda x: (filled[x >> 6] >> (x & 63)) & 1
+        for batch in it:
+            for i in range(0, batch.num_rows, 256):
+                some = batch.slice(i, 256)
+                found = templates([words_of(x) for x in some.column(2).to_pylist()], words)
+                for lookup, n in lookups:
+                    t = found[lookup]
+                    hashes = windows(t.hashes, n, lookup)
+                    near = np.flatnonzero(seen(hashes & (bits - 1)))
+                    near = near[seen((hashes[near] >> 32) & (bits - 1)) > 0]
+                    own = np.searchsorted(t.starts, near, "right") - 1
+                    whole = near + n <= t.starts[own + 1]
+                    near, own = near[whole], own[whole]
+                    if not len(near):
+                        continue
+                    values = pa.array(t.values[near[:, None] + np.arange(n)].ravel())
+                    mine = pa.ListArray.from_arrays(pa.array(np.arange(0, n * len(near) + 1, n), pa.int32()), values)
+                    at = pa.array(own)
+                    numbers = [pa.array(hashes[near]), pa.array((near - t.starts[own]).astype(np.int32)), pa.array(t.places[near].astype(np.int32))]
+                    yield pa.RecordBatch.from_arrays([some.column(0).take(at), some.column(1).take(at), *numbers, mine], ["h1", "h2", "hash", "at", "place", "mine"])
+
+    rows = docs.select(*text_hashes(text), text.alias("text")).where("text is not null")
+    return rows.mapInArrow(each, "h1 bigint, h2 bigint, hash bigint, at int, place int, mine array<bigint>")
+
+
+def found_items(docs: DataFrame, benchmark: DataFrame, text: Column, item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """(h1, h2, item, item_id, n_windows, item_windows, first_word, n_slots, other_values): one row per text and item in it."""
+    text_batches(docs.sparkSession)
+    items = benchmark.where(F.col(item_text).isNotNull()).select(F.col(item_id).alias("item_id"), F.col(item_text).alias("text"))
+    items = items.select(F.monotonically_increasing_id().alias("item"), "item_id", "text")
+    wanted = written(item_windows(items), "windows")
+    near = written(text_windows(docs, text, wanted), "near")
+    # a row for each slot's place in the item, its value there and its value here
+    slots = F.expr("filter(transform(theirs, (x, i) -> struct(if(kinds[i] > 0, start + i, -1) as p, x as theirs, mine[i] as mine)), x -> x.p >= 0)")
+    met = near.join(wanted, "hash").where("size(mine) = n").withColumn("slots", slots)
+    met = met.groupBy("h1", "h2", "item", "lookup", (F.col("at") - F.col("start")).alias("shift"), "start").agg(F.first("total").alias("total"), F.first("item_id").alias("item_id"), F.min("place").alias("place"), F.first("slots").alias("slots"))
+    offsets = met.groupBy("h1", "h2", "item", "lookup", "shift").agg(
+        F.count(F.lit(1)).alias("n"), F.first("total").alias("total"), F.first("item_id").alias("item_id"),
+        F.min(F.struct("start", "place")).alias("first"), F.array_distinct(F.flatten(F.collect_list("slots"))).alias("slots"),
+    )
+    pairs = "array_distinct(transform(slots, x -> struct(x.theirs, x.mine)))"
+    side = "size(array_distinct(transform({p}, x -> x.{c}))) = size({p})"
+    fits = offsets.where(f"n >= least({MATCHES}, total)").withColumn("pairs", F.expr(pairs)).where(f"{side.format(p='pairs', c='theirs')} and {side.format(p='pairs', c='mine')}")
+    rank = F.struct(-F.col("lookup"), "n", -F.col("first.place"), F.size("slots").alias("slots"))
+    other = F.expr("exists(pairs, x -> x.theirs <> x.mine)")
+    row = F.struct("item_id", F.col("n").cast("int").alias("n_windows"), F.col("total").alias("item_windows"), F.col("first.place").cast("bigint").alias("first_word"), F.size("slots").alias("n_slots"), other.alias("other_values"))
+    return fits.groupBy("h1", "h2", "item").agg(F.max_by(row, rank).alias("best")).select("h1", "h2", "item", "best.*")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, item_id, n_windows, item_windows, first_word, n_slots, other_values): one row per text and item in it.
 
-    Null texts and items match nothing, nor do items without words; items of fewer than three words match verbatim only.
-    An item with a null id keeps it. Windows are counted in the first lookup that finds the item (typed, wide, plain);
-    where it is met at several offsets, the one with most windows counts, then the first. Rows that repeat are found as
-    often; other columns are ignored; empty tables give no rows.
+    Null texts and items match nothing, nor do items without words; items of fewer than three template words match
+    verbatim only. Ids may be of any type, null or repeated, on both sides. Windows are counted in the first lookup that
+    finds the item (typed, wide, plain); where it is met at several offsets, the one with most windows counts, then the
+    first. Rows that repeat are found as often; other columns are ignored; empty tables give no rows.
     """
-    kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"doc_id {kind}, item_id bigint, n_windows int, item_windows int, first_word bigint, n_slots int, other_values boolean"
-    spark, out = docs.sparkSession, None
-    for block in blocks(benchmark):
-        shared = spark.sparkContext.broadcast(block)
-
-        def each(it: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            words = Words()
-            for batch in it:
-                for i in range(0, batch.num_rows, 256):
-                    some = batch.slice(i, 256)
-                    found = matches(some.column(1).to_pylist(), shared.value, words)
-                    at = pa.array([j for j, x in enumerate(found) for _ in x], pa.int64())
-                    rows = list(zip(*(y for x in found for y in x))) or [()] * 6
-                    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.bool_())
-                    yield pa.RecordBatch.from_arrays([some.column(0).take(at), *(pa.array(r, k) for r, k in zip(rows, kinds))], ["doc_id", "item_id", "n_windows", "item_windows", "first_word", "n_slots", "other_values"])
-
-        found = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(each, schema)
-        out = found if out is None else out.unionByName(found)
-    return spark.createDataFrame([], schema) if out is None else out
+    found = found_items(docs, benchmark, F.col(text_col))
+    rows = docs.select(F.col(id_col).alias("doc_id"), *text_hashes(F.col(text_col)))
+    return rows.join(found, ["h1", "h2"]).drop("h1", "h2", "item")
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
-    """The rows of `docs`, all columns, in which no benchmark item is found."""
-    for block in blocks(benchmark):
-        shared = docs.sparkSession.sparkContext.broadcast(block)
-        at = docs.columns.index(text_col)
-
-        def each(it: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            words = Words()
-            for batch in it:
-                for i in range(0, batch.num_rows, 256):
-                    some = batch.slice(i, 256)
-                    found = matches(some.column(at).to_pylist(), shared.value, words)
-                    yield some.filter(pa.array([not x for x in found], pa.bool_()))
-
-        docs = docs.mapInArrow(each, docs.schema)
-    return docs
+    """The rows of `docs`, all columns, whose texts hold no benchmark item; see `leaks`.
+
+    Rows with null or empty texts stay, repeated rows stay or go together, columns may have any names, ids don't
+    matter; empty tables leave everything.
+    """
+    names = [free_name(docs, x) for x in ("h1", "h2")]
+    found = written(found_items(docs, benchmark, F.col(text_col)).select("h1", "h2").distinct().toDF(*names), "leaks")
+    marked = docs.withColumns(dict(zip(names, text_hashes(F.col(text_col)))))
+    return marked.join(found, names, "left_anti").select(*docs.columns)
