@@ -21,6 +21,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +39,7 @@ MATCHES = 3
 #: Bits of the bitmap at most (16 MB); there are 64 for each window up to there.
 MAP_BITS = 1 << 27
 #: Different words that a worker remembers.
-KNOWN = 250_000
+KNOWN = 500_000
 #: The lookups: names inside sentences, names anywhere, no placeholders.
 TYPED, WIDE, PLAIN = LOOKUPS = (0, 1, 2)
 
@@ -59,13 +60,15 @@ FLAGS = np.uint64(15)
 
 
 def word_number(word: str) -> int:
+    if word.isalpha() and word.islower() and word not in UNITS:  # most words
+        return xxhash.xxh64_intdigest(word.encode(), 7) & ~15 | 1 << 63
     core = word.strip(PUNCTUATION)
     ends = ENDS if word.rstrip("\"'”’)»")[-1:] in SENTENCE_ENDS and word.rstrip("\"'”’)»") else 0
     if not core:
         return ends  # hash zero: no word
     low = core.lower()
     hashed = xxhash.xxh64_intdigest(low.encode("utf-8", "surrogatepass"), 7) & ~15 | 1 << 63
-    if _number.fullmatch(core) or ((m := _glued.fullmatch(core)) and m[1].lower() in UNITS):
+    if (core[0].isdigit() or core[0] in "+-") and (_number.fullmatch(core) or ((m := _glued.fullmatch(core)) and m[1].lower() in UNITS)):
         return hashed | ends | IS_NUMBER
     return hashed | ends | (CAPITAL if core[0].isupper() else 0) | (IS_UNIT if low in UNITS else 0)
 
@@ -99,7 +102,7 @@ class Template:
 def templates(split: list[list[str]], words: Words) -> list[Template]:
     """The texts' template in each lookup."""
     sizes = [len(x) for x in split]
-    raw = np.fromiter((words[w] for x in split for w in x), np.uint64, sum(sizes))
+    raw = np.fromiter(map(words.__getitem__, chain.from_iterable(split)), np.uint64, sum(sizes))
     offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
     places = np.arange(len(raw)) - np.repeat(offsets[:-1], sizes)
     flags = (raw & FLAGS).astype(np.uint8)
@@ -111,25 +114,33 @@ def templates(split: list[list[str]], words: Words) -> list[Template]:
     after_number[first] = False
     plain = raw & ~FLAGS
     capital = (flags & CAPITAL) > 0
-    is_word = plain > 0
+    is_word = np.flatnonzero(plain)
     owner = np.repeat(np.arange(len(split)), sizes)[is_word]
+    same_text = np.zeros(len(owner), bool)
+    same_text[1:] = owner[1:] == owner[:-1]
     out = []
     for lookup in LOOKUPS:
-        kinds = np.zeros(len(raw), np.uint8)
+        value, place, own = plain[is_word], places[is_word], owner
+        kind = np.zeros(len(value), np.uint8)
         if lookup != PLAIN:
+            kinds = np.zeros(len(raw), np.uint8)
             kinds[capital if lookup == WIDE else capital & ~after_end & ~first] = NAME
             kinds[((flags & IS_UNIT) > 0) & after_number] = UNIT
             kinds[(flags & IS_NUMBER) > 0] = NUMBER
-        kind, value = kinds[is_word], plain[is_word]
-        begins = np.ones(len(kind), bool)  # a run of words of a name is one template word
-        begins[1:] = (kind[1:] != NAME) | (kind[:-1] != NAME) | (owner[1:] != owner[:-1])
-        at = np.flatnonzero(begins)
-        inside = np.arange(len(kind)) - np.repeat(at, np.diff(np.append(at, len(kind))))
-        value = np.add.reduceat(value * (2 * inside.astype(np.uint64) + np.uint64(1)), at) if len(at) else value
-        kind = kind[at]
-        hashes = np.where(kind > 0, kind.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93), value)
-        starts = np.searchsorted(owner[at], np.arange(len(split) + 1))
-        out.append(Template(hashes, kind, value.view(np.int64), places[is_word][at], starts))
+            kind = kinds[is_word]
+            # a run of words of a name is one template word
+            name = kind == NAME
+            more = np.flatnonzero(name[1:] & name[:-1] & same_text[1:]) + 1
+            if len(more):
+                run = np.concatenate([[True], np.diff(more) > 1])
+                inside = np.arange(len(more)) - np.repeat(np.flatnonzero(run), np.diff(np.append(np.flatnonzero(run), len(more)))) + 1
+                np.add.at(value, more - inside, value[more] * (2 * inside.astype(np.uint64) + np.uint64(1)))
+                keep = np.ones(len(value), bool)
+                keep[more] = False
+                value, place, own, kind = value[keep], place[keep], own[keep], kind[keep]
+        hashes = value.copy()
+        hashes[kind > 0] = kind[kind > 0].astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+        out.append(Template(hashes, kind, value.view(np.int64), place, np.searchsorted(own, np.arange(len(split) + 1))))
     return out
 
 
