@@ -69,23 +69,26 @@ def mix_sources(
     seed: str = "mix-1",
     carry: bool = False,
     rows_per_range: int = 2048,
+    tie: Column | None = None,
 ) -> DataFrame:
     """(doc_id, size, source_size, target, taken): what the mix takes of every row; 0 where it takes nothing.
 
     With `carry`, a struct `row` holds the row's own columns as well.
 
     taken counts words, repeats included: whole epochs of the source, and once more what still fits when rows are
-    taken by md5(seed, id), id and size. The last row may be taken in part, so that a source's taken words are its
+    taken by md5(seed, id), id, size and `tie`, a number which also stands for a null id. The last row may be taken in part, so that a source's taken words are its
     target rounded down. Reruns agree. Null sources are one source, the last; a null id hashes as an empty one; rows
     that repeat count as often as they come; empty texts take nothing; an empty table gives no rows.
     """
     size = word_count(F.col("text")) if size is None else size
     kept = [F.struct(*(F.col(c) for c in docs.columns)).alias("row")] if carry else []
+    tie = F.lit(None).cast("bigint") if tie is None else tie
     rows = docs.select(
         F.col(id_col).alias("doc_id"),
         F.col(source_col).alias("source"),
         size.cast("bigint").alias("size"),
-        F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))).alias("key"),
+        F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("null:"), tie.cast("string")), F.lit("")))).alias("key"),
+        tie.alias("tie"),
         *kept,
     )
     # a table, so that its size is known when the join is planned: small ones are broadcast, and no row moves by source
@@ -103,7 +106,7 @@ def mix_sources(
         .withColumn("base", F.sum("in_part").over(Window.partitionBy("name").orderBy("part")) - F.col("in_part"))
         .select("name", "part", "base")
     )
-    inside = Window.partitionBy("name", "part").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy("name", "part").orderBy("key", "doc_id", "size", "tie").rowsBetween(Window.unboundedPreceding, 0)
     placed = dealt.withColumn("inside", F.sum("size").over(inside) - F.col("size")).join(before_part, ["name", "part"])
     budget = F.floor("target")
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(F.lit(0))
@@ -120,7 +123,7 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     A part is the text's first words with the white space before them; `length_col`, if there is one, is its length.
     Rows that the mix does not take are gone, and so are those without words.
     """
-    found = mix_sources(docs, id_col, source_col, word_count(F.col(text_col)), carry=True).where("taken > 0")
+    found = mix_sources(docs, id_col, source_col, word_count(F.col(text_col)), carry=True, tie=F.xxhash64(text_col)).where("taken > 0")
     words = F.expr("cast(array_repeat(0L, cast(taken div size as int)) || if(taken % size > 0, array(taken % size), array()) as array<bigint>)")
     found = found.select("row", F.explode(words).alias("first"))
     start = F.array_join(F.slice(F.regexp_extract_all(F.col(f"row.{text_col}"), F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0)), 1, F.col("first").cast("int")), "")

@@ -1,11 +1,16 @@
 """Toxicity by two class-conditional Kneser-Ney character models with shared backoff.
 
-The toxic and the ordinary model count 4-grams of their own class, within words, whose ends count as characters. Both back off to one shared distribution, made of
-continuation counts over both classes, so that an expression that a class has not seen counts by its context alone:
-there the shared part cancels out of the ratio and only the two backoff weights remain. What scoring needs is thus one
-number for each seen 4-gram and one for each seen context, log P(toxic model) - log P(ordinary model), kept in two
-tables of as many rows as there are keys. Log-likelihoods are compared by word and over the text, divided by its length; a logistic curve,
-fitted on labelled rows that the models have not counted, turns the comparison into a score.
+The toxic and the ordinary model count 4-grams of their own class, within words, whose ends count as characters. Both
+back off to one shared distribution: Kneser-Ney continuation counts over both classes, interpolated down to single
+characters. An expression that a class has not seen counts by its context and by what both classes share; where neither
+has seen it, the shared part cancels out of the ratio and only the two backoff weights remain. What scoring needs is thus
+one number for each seen 4-gram and one for each seen context, log P(toxic model) - log P(ordinary model), kept in two
+tables of as many rows as there are keys.
+
+The two log-likelihoods are compared divided by length, in characters: for each word, and for the whole text. A text's
+features are its largest ratio of a word, how far and for how many characters its words' ratios exceed MARGIN, and the
+ratio of the whole text, which alone would let long texts drown what they contain. A logistic curve of them, fitted on
+labelled rows that the models have not counted, gives the score.
 """
 
 from __future__ import annotations
@@ -26,8 +31,8 @@ from quire.llm.shared import text_batches, written
 ORDER = 4
 DISCOUNT = 0.75
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
-#: A word's log ratio counts as an excess above this.
-MARGIN = 3.0
+#: A word's log ratio by character counts as an excess above this.
+MARGIN = 0.3
 
 
 @dataclass
@@ -73,7 +78,7 @@ class Model:
     base: float
 
     def features(self, texts: list[str | None]) -> np.ndarray:
-        """For each text: its largest log ratio of a word, its words' excess over MARGIN, and its ratio by character."""
+        """For each text: its largest log ratio of a word, by character; its words' excess over MARGIN; its own ratio by character."""
         out = np.zeros((len(texts), 3))
         length = np.ones(len(texts))
         for owner, starts, codes in batches(texts, ORDER - 1):
@@ -87,9 +92,10 @@ class Model:
             first[starts] = True
             words = np.flatnonzero(first)
             by_word = np.add.reduceat(ratio, words)
+            letters = np.maximum(np.diff(np.append(words, len(codes))) - (ORDER - 2), 1)  # and one end
             own = np.searchsorted(words, starts)
-            np.maximum.at(out[:, 0], owner, np.maximum.reduceat(by_word, own))
-            np.add.at(out[:, 1], owner, np.add.reduceat(np.maximum(by_word - MARGIN, 0), own))
+            np.maximum.at(out[:, 0], owner, np.maximum.reduceat(by_word / letters, own))
+            np.add.at(out[:, 1], owner, np.add.reduceat(np.maximum(by_word - MARGIN * letters, 0), own))
             np.add.at(out[:, 2], owner, np.add.reduceat(by_word, own))
             np.add.at(length, owner, np.diff(np.append(starts, len(codes))))
         out[:, 2] /= length
@@ -209,10 +215,21 @@ def ratios(seen: DataFrame) -> tuple[Ratios, Ratios]:
         F.sum("toxic").alias("n1"), F.count_if(F.col("toxic") > 0).alias("k1"),
         F.sum("ordinary").alias("n0"), F.count_if(F.col("ordinary") > 0).alias("k0"),
     )
-    suffix = F.col("gram").bitwiseAND(F.lit((1 << BITS * (ORDER - 1)) - 1))
-    follows = seen.groupBy(suffix.alias("suffix")).agg(F.count(F.lit(1)).alias("before"))
-    inner = follows.groupBy(F.shiftright("suffix", BITS).alias("inner")).agg(F.sum("before").alias("all_before"))
-    shared = follows.join(inner, F.shiftright("suffix", BITS) == F.col("inner")).select("suffix", (F.col("before") / F.col("all_before")).alias("p"))
+    low = lambda c, n: F.col(c).bitwiseAND(F.lit((1 << BITS * n) - 1))
+
+    def continuations(longer: DataFrame, n: int) -> DataFrame:
+        """(key, p): the shared distribution of the last of n characters, from the distinct grams of n + 1."""
+        types = longer.groupBy(low("key", n).alias("key")).agg(F.count(F.lit(1)).alias("before"))
+        above = F.greatest(F.col("before") - DISCOUNT, F.lit(0.0))
+        if n == 1:
+            all_types = types.agg(F.sum("before").alias("total"), F.count(F.lit(1)).alias("kinds"))
+            return types.join(F.broadcast(all_types)).select("key", ((above + DISCOUNT * F.col("kinds") / (F.col("kinds") + 1)) / F.col("total")).alias("p"))
+        contexts = types.groupBy(F.shiftright("key", BITS).alias("context")).agg(F.sum("before").alias("total"), F.count(F.lit(1)).alias("kinds"))
+        shorter = continuations(types.select("key"), n - 1).select(F.col("key").alias("end"), F.col("p").alias("shorter"))
+        both = types.join(contexts, F.shiftright("key", BITS) == F.col("context")).join(shorter, low("key", n - 1) == F.col("end"))
+        return both.select("key", ((above + DISCOUNT * F.col("kinds") * F.col("shorter")) / F.col("total")).alias("p"))
+
+    shared = written(continuations(seen.select(F.col("gram").alias("key")), ORDER - 1), "shared")
 
     def chance(n: str, of: str, kinds: str):
         known = (F.greatest(F.col(n) - DISCOUNT, F.lit(0.0)) + DISCOUNT * F.col(kinds) * F.col("p")) / F.col(of)
@@ -223,7 +240,7 @@ def ratios(seen: DataFrame) -> tuple[Ratios, Ratios]:
 
     by_gram = (
         seen.join(contexts, F.shiftright("gram", BITS) == F.col("context"))
-        .join(shared, suffix == F.col("suffix"))
+        .join(shared, low("gram", ORDER - 1) == F.col("key"))
         .select(F.col("gram").alias("key"), F.log(chance("toxic", "n1", "k1") / chance("ordinary", "n0", "k0")).alias("value"))
     )
     by_context = contexts.select(F.col("context").alias("key"), F.log(weight("n1", "k1") / weight("n0", "k0")).alias("value"))
@@ -235,11 +252,14 @@ def ratios(seen: DataFrame) -> tuple[Ratios, Ratios]:
     return table(by_gram), table(by_context)
 
 
-def score_toxicity(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
-    """`docs` with toxicity (double) and toxic_predicted (int, 1 from `threshold` on) for every row.
+def score_toxicity(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.3, into: tuple[str, str] = ("toxicity", "toxic_predicted")) -> DataFrame:
+    """`docs` with two more columns: the score (double) and the prediction (int, 1 from `threshold` on), for every row.
 
-    Null and empty texts get the score of a text without evidence. Ties don't arise; repeated rows get equal scores.
+    Null and empty texts get the score of a text without evidence. Ties don't arise; repeated rows get equal scores. The
+    columns' names must be new to `docs`; an empty table gives an empty table.
     """
+    if taken := {c.lower() for c in docs.columns} & {c.lower() for c in into}:
+        raise ValueError(f"there are columns named {sorted(taken)}; give other names in `into`")
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
 
@@ -248,7 +268,7 @@ def score_toxicity(docs: DataFrame, model: Model, text_col: str = "text", thresh
             for i in range(0, batch.num_rows, 1024):
                 some = batch.slice(i, 1024)
                 x = shared.value.score(some.column(at).to_pylist())
-                yield pa.RecordBatch.from_arrays([*some.columns, pa.array(x), pa.array((x >= threshold).astype(np.int32))], [*some.schema.names, "toxicity", "toxic_predicted"])
+                yield pa.RecordBatch.from_arrays([*some.columns, pa.array(x), pa.array((x >= threshold).astype(np.int32))], [*some.schema.names, *into])
 
-    schema = T.StructType([*docs.schema.fields, T.StructField("toxicity", T.DoubleType()), T.StructField("toxic_predicted", T.IntegerType())])
+    schema = T.StructType([*docs.schema.fields, T.StructField(into[0], T.DoubleType()), T.StructField(into[1], T.IntegerType())])
     return docs.mapInArrow(each, schema)

@@ -23,8 +23,19 @@ def plain(texts):
     """{gram: ratio}, {context: ratio} of two texts by class, from the definition."""
     count = [Counter(t[i : i + ORDER] for t in of for i in range(len(t) - ORDER + 1)) for of in texts]
     kinds = set(count[0]) | set(count[1])
-    before = Counter(g[1:] for g in kinds)
-    inner = Counter(g[1:-1] for g in kinds)
+    types_of = {ORDER: kinds}
+    for n in range(ORDER - 1, 0, -1):
+        types_of[n] = {g[1:] for g in types_of[n + 1]}
+    before = {n: Counter(g[1:] for g in types_of[n + 1]) for n in range(1, ORDER)}
+
+    def continuation(g):
+        n = len(g)
+        if n == 1:
+            v = len(types_of[1])
+            return (max(before[1][g] - DISCOUNT, 0) + DISCOUNT * v / (v + 1)) / sum(before[1].values())
+        own = [x for x in before[n] if x[:-1] == g[:-1]]
+        return (max(before[n][g] - DISCOUNT, 0) + DISCOUNT * len(own) * continuation(g[1:])) / sum(before[n][x] for x in own)
+
     total, types = [Counter(), Counter()], [Counter(), Counter()]
     for c in (0, 1):
         for g, n in count[c].items():
@@ -32,7 +43,7 @@ def plain(texts):
             types[c][g[:-1]] += 1
 
     def chance(c, g):
-        shared, n = before[g[1:]] / inner[g[1:-1]], total[c][g[:-1]]
+        shared, n = continuation(g[1:]), total[c][g[:-1]]
         return (max(count[c][g] - DISCOUNT, 0) + DISCOUNT * types[c][g[:-1]] * shared) / n if n else shared
 
     def weight(c, x):
@@ -124,3 +135,23 @@ def test_every_gram_is_kept(spark):
     assert context.of(np.array(sorted({g >> BITS for g, _, _ in rows})))[0].all()
     empty = ratios(spark.createDataFrame([], "gram bigint, toxic bigint, ordinary bigint"))[0]
     assert not empty.of(np.array([5, 6], np.int64))[0].any()
+
+
+def test_given_names_and_clashes(spark):
+    import pytest
+
+    docs = spark.createDataFrame([(1, "text", 0.5)], "doc_id bigint, text string, toxicity double")
+    model = train(docs, spark.createDataFrame([], LABELS))
+    with pytest.raises(ValueError):
+        score_toxicity(docs, model)
+    row = score_toxicity(docs, model, into=("a", "b")).first()
+    assert (row.toxicity, row.a, row.b) == (0.5, 0.0, 0)
+
+
+def test_held_out_recall_and_precision_at_sf01(spark):
+    """On fold 2 of the labels of sf0.1: recall 0.75, precision 0.8 at least (57 of its 449 toxic documents hold no word of their lexicon)."""
+    sf = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{sf}/labels.parquet")
+    held = score_toxicity(docs.join(labels, "doc_id").where("crc32(cast(doc_id as string)) % 4 = 2"), train(docs, labels))
+    found = Counter((r.toxic, r.toxic_predicted) for r in held.select("toxic", "toxic_predicted").collect())
+    assert found[1, 1] / (found[1, 1] + found[1, 0]) >= 0.75 and found[1, 1] / (found[1, 1] + found[0, 1]) >= 0.8, found
