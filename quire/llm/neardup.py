@@ -1,17 +1,18 @@
 """One document of each group of near copies: SimHash with pigeonring chains, verified by shingle sets.
 
 Near copies are texts whose sets of word shingles have a Jaccard similarity of 0.8 or more. Each set has a fingerprint
-of 512 bits, 64 segments of eight bits, which lie on six rings (by steps of 1, 3, ... 11 segments). Of a pair that
-differs in TAU bits or fewer, a chain of consecutive segments of some ring stays within proportional budgets: l
+of 1,024 bits. The first 512, 64 segments of eight bits, lie on six rings (by steps of 1, 3, ... 11 segments). Of a pair
+that differs in TAU of them or fewer, a chain of consecutive segments of some ring stays within proportional budgets: l
 segments differ in l * TAU / 64 bits together at most. A chain is looked up by its first three segments, which have to
-be equal; the differences of the first four to eight are held against their budgets, then those of all 512 bits against
-TAU, and what remains is compared set by set. Sets of few shingles, whose fingerprints say little, are also looked up
-by their least shingles, one of which they share if they are similar.
+be equal; the differences of the first four to eight are held against their budgets, then those of all 1,024 bits
+against WHOLE_TAU, and what remains is compared set by set. Sets of few shingles, whose fingerprints say little, are
+also looked up by their least shingles, one of which they share if they are similar.
 
-No bucket is turned into pairs. Its rows are sorted, a large bucket over several tasks, and the first pass compares
-each with the first. The second pass takes the buckets that still hold several components, leaves the largest of them
-alone, and compares the others with it and with each other, in units of bounded size; it misses no pair of different
-components that shares a bucket, so that nothing is left for a third.
+No bucket is turned into pairs. Its rows are sorted, a large bucket over several tasks, and the first pass compares each
+text once: with the least of those that come first in its buckets, which joins most of a large group. The second pass
+takes the buckets that still hold several components, leaves the largest of them alone, and compares the others with it
+and with each other, in units of bounded size; it misses no pair of different components that shares a bucket and stays
+within the budgets, so that nothing is left for a third.
 
 Equal sets are one node, so exact copies cost nothing. A pair at a similarity of 0.8 has 192 chains of about 2 % each:
 0.9 of such pairs are found, and 0.98 at 0.84 (simulated; recall against brute force is tested).
@@ -30,15 +31,15 @@ from pyspark.sql import functions as F
 from quire.llm.shared import connected_components, free_name, text_batches, text_hashes, written
 
 SEED = 42
-#: Bits that may differ, of 512: 77 are expected at a similarity of 0.8, with a deviation of 8.
-TAU = 92
+#: Bits that may differ of the first 512, and of all 1,024: 77 and 153 are expected at a similarity of 0.8, give or take 8 and 11.
+TAU, WHOLE_TAU = 92, 175
 #: Rings, by their steps, and the chains on them, by the segments that they begin with.
 STEPS = (1, 3, 5, 7, 9, 11)
 CHAINS = np.array([[(t + s * k) % 64 for k in range(8)] for s in STEPS for t in range(0, 64, 2)])
 #: Bits by which the first l segments of a chain may differ, l from one to eight.
 BUDGETS = np.array([length * TAU // 64 for length in range(1, 9)])
 #: Sets of up to so many shingles are also looked up by their least shingles; 32 or fewer miss nothing that way.
-FEW, FEW_TAU = 40, 140
+FEW, FEW_TAU = 40, 280
 #: Keys from here on are shingles, those below are chains.
 SHINGLES = 1 << 62
 #: Rows of one unit of the second pass: of components but the largest, and of all.
@@ -48,7 +49,7 @@ ROWS = 20_000
 
 BITS = np.array([i.bit_count() for i in range(256)], np.uint8)
 #: Odd multipliers that turn a shingle's hash into its 64 bits of each fingerprint.
-MULTIPLIERS = [np.uint64(0x9E3779B97F4A7C15 * (2 * i + 1) % (1 << 64)) for i in range(8)]
+MULTIPLIERS = [np.uint64(0x9E3779B97F4A7C15 * (2 * i + 1) % (1 << 64)) for i in range(16)]
 
 
 def shingle_set(text: str | None, n: int = 5) -> np.ndarray:
@@ -64,7 +65,7 @@ def shingle_set(text: str | None, n: int = 5) -> np.ndarray:
 
 
 def print_of(shingles: np.ndarray) -> np.ndarray:
-    """The 64 bytes of a set's fingerprint: a bit is set if it is in over half the shingles."""
+    """The 128 bytes of a set's fingerprint: a bit is set if it is in over half the shingles."""
     out = []
     for m in MULTIPLIERS:
         count = np.zeros(64, np.int64)
@@ -83,9 +84,9 @@ def least_shingles(shingles: np.ndarray) -> np.ndarray:
     return shingles[: n - -(-4 * n // 5) + 1] if 0 < n <= FEW else shingles[:0]
 
 
-def words64(column: pa.Array, size: int) -> np.ndarray:
-    """Binary values of `size` bytes each as rows of bytes."""
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, size)
+def print_bytes(column: pa.Array) -> np.ndarray:
+    """Fingerprints as rows of bytes."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, 128)
 
 
 def many_rows(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
@@ -126,7 +127,7 @@ def lookups(nodes: DataFrame) -> DataFrame:
             if not batch.num_rows:
                 continue
             node = batch.column(0).to_numpy()
-            own = words64(batch.column(1), 64)[:, CHAINS]  # nodes x chains x 8
+            own = print_bytes(batch.column(1))[:, CHAINS]  # nodes x chains x 8
             key = np.arange(len(CHAINS)) << 24 | own[..., 0].astype(np.int64) << 16 | own[..., 1].astype(np.int64) << 8 | own[..., 2]
             least = [np.frombuffer(x, np.uint64) for x in batch.column(2).to_pylist()]
             shingles = (np.concatenate(least) >> np.uint64(2)).astype(np.int64) + SHINGLES
@@ -194,7 +195,7 @@ def compared(rows: DataFrame) -> DataFrame:
             # a pair of two that ask comes once
             some = some[(node[some] > node[i]) | ~unit["minor"][some]]
             differ = BITS[bits[some] ^ bits[i]]
-            near = np.flatnonzero(differ.sum(1, dtype=np.int64) <= (FEW_TAU if shingle else TAU))
+            near = np.flatnonzero(differ.sum(1, dtype=np.int64) <= (FEW_TAU if shingle else WHOLE_TAU))
             if not shingle:  # and once of all chains that it has in common
                 steps = np.cumsum(differ[near][:, CHAINS], axis=2)
                 met = (steps[..., 2] == 0) & (steps <= BUDGETS).all(axis=2)
@@ -206,7 +207,7 @@ def compared(rows: DataFrame) -> DataFrame:
         def made(unit: list[pa.RecordBatch]) -> pa.RecordBatch:
             table = pa.Table.from_batches(unit)
             columns = {c: table.column(c).to_numpy() for c in ("key", "role", "node", "component", "minor")}
-            found = list(pairs(columns | {"print": words64(table.column("print"), 64)}))
+            found = list(pairs(columns | {"print": print_bytes(table.column("print"))}))
             a, b = (np.concatenate([np.zeros(0, np.int64), *x]) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 2
             return pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["a", "b"])
 
@@ -231,14 +232,14 @@ def compared(rows: DataFrame) -> DataFrame:
 
 def left_to_compare(buckets: DataFrame, groups: DataFrame, nodes: DataFrame) -> DataFrame:
     """The second pass: pairs of different components that share a bucket and stay within the budgets."""
-    members = buckets.select("key", "node", "first").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    members = buckets.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
     members = written(members, "members")
-    sizes = members.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"), F.min("first").alias("least"), F.max("first").alias("most"))
+    sizes = members.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"), F.min("first").alias("least"), F.max("first").alias("most"), F.max("near").alias("near"))
     keys = sizes.groupBy("key").agg(
-        F.count(F.lit(1)).alias("components"), F.sum("n").alias("rows"), F.max(F.struct("n", "component")).alias("top"), (F.min("least") < F.max("most")).alias("apart")
+        F.count(F.lit(1)).alias("components"), F.sum("n").alias("rows"), F.max(F.struct("n", "component")).alias("top"), (F.min("least") < F.max("most")).alias("apart"), F.max("near").alias("near")
     )
-    # two rows that have been compared with each other need no more
-    keys = keys.where("components > 1 and (rows > 2 or apart)").select(
+    # two rows that are not near each other need no comparison
+    keys = keys.where("components > 1 and (rows > 2 or apart or near)").select(
         "key", F.col("top.component").alias("top"),
         F.expr(f"cast(ceil((rows - top.n) / {UNIT[0]}) as int)").alias("xs"), F.expr(f"cast(ceil(rows / {UNIT[1]}) as int)").alias("ys"),
     )
@@ -288,7 +289,7 @@ def near_copies(docs: DataFrame, rows: DataFrame, nodes: DataFrame, ident: Colum
 
     sorted_rows = lookups(nodes).repartitionByRange("key", "node").sortWithinPartitions("key", "node")
     buckets = many_rows(spark, sorted_rows.mapInArrow(first_of_buckets, "key bigint, node bigint, first bigint, near boolean"), "buckets")
-    found = linked(buckets.where("near").select(F.col("node").alias("a"), F.col("first").alias("b")).distinct())
+    found = linked(buckets.where("near").groupBy(F.col("node").alias("a")).agg(F.min("first").alias("b")))
     groups = connected_components(found)
     more = linked(left_to_compare(buckets, groups, nodes).distinct())
     return connected_components(found.unionByName(more)) if more.take(1) else groups
