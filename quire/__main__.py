@@ -48,7 +48,7 @@ def main(argv: list[str] | None = None) -> int:
             result = engine.hybrid(docs, detector_of(args.detector), reader(PAGE_PROMPT, models.PAGE_LIMITS), reader(CROP_PROMPT, models.CROP_LIMITS), settings, pages)
         named = docs.select("doc_id", X.output_path(F.col("path"), F.lit(args.output)).alias("out"))
         # one file at a time: a command has few documents, a cluster job writes `output_files` itself
-        for row in engine.output_files(result).join(named, "doc_id").toLocalIterator():
+        for row in engine.output_files(result, docs, pages, settings.dpi).join(named, "doc_id").toLocalIterator():
             with open(row.out.removeprefix("file:"), "wb") as out:
                 out.write(row.content)
     except Exception as e:

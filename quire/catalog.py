@@ -460,7 +460,7 @@ def _(spark, sf):
 @query("n04_align_text", sql("""SELECT b.doc_id, b.box_idx, coalesce(t.text, '') AS text FROM v_boxes b JOIN page p ON p.doc_id = b.doc_id AND NOT p.whole LEFT JOIN texts t ON t.doc_id = b.doc_id AND t.box_idx = b.box_idx
   UNION ALL SELECT p.doc_id, -1, string_agg(l.text, chr(10) ORDER BY l.i) FROM page p JOIN pl l USING (doc_id) WHERE p.whole GROUP BY p.doc_id""", _programme(), True))
 def _(spark, sf):
-    return alignment.aligned_text(page_lines(spark, sf), boxes(docs(spark, sf)), alignment.aligned_pages(pages(spark, sf)))
+    return alignment.aligned_text(page_lines(spark, sf), alignment.aligned_pages(pages(spark, sf)))
 
 
 @query("a05_box_text_concat", sql("SELECT doc_id, line_idx // 3 AS box_idx, string_agg(text, ' ' ORDER BY line_idx) AS text FROM v_lines GROUP BY ALL"))
@@ -647,6 +647,15 @@ def _(spark, sf):
     return found.select("doc_id", "box_idx", "path", *(six(F.col(c)).alias(c) for c in ("x", "baseline_y", "font_size", "target_width")))
 
 
+@query("g17_full_page_lines", sql(f"SELECT doc_id, line_idx AS line, text, 10::DOUBLE AS x, {SIX('10::DOUBLE + 1.075::DOUBLE * 6 + line_idx * (1.075::DOUBLE + 0.299::DOUBLE) * 6')} AS baseline_y, 6::DOUBLE AS font_size, 592::DOUBLE AS target_width FROM v_lines WHERE n > 1"))
+def _(spark, sf):
+    """Pages that stand as a whole: their lines below each other, from the top."""
+    whole = G.box(F.lit(0.0), F.lit(0.0), F.lit(1.0), F.lit(1.0))
+    page = line_arrays(docs(spark, sf)).where(F.size("lines") > 1).select("doc_id", F.lit(0).alias("box_idx"), whole.alias("box"), F.array_join("lines", "\n").alias("text"))
+    found = layer.drawn(layer.tall_slices(layer.line_slices(page).drop("slice_idx")))
+    return found.select("doc_id", "line", "text", *(six(F.col(c)).alias(c) for c in ("x", "baseline_y", "font_size", "target_width")))
+
+
 @query("j03_page_left_layer", sql("SELECT d.doc_id, b.box_idx, b.text FROM documents d LEFT JOIN (SELECT * FROM v_boxes WHERE doc_id % 2 = 0) b USING (doc_id)"))
 def _(spark, sf):
     found = docs(spark, sf)
@@ -758,14 +767,15 @@ def _(spark, sf):
     return table(spark, sf, "pages").select("page_id", data_url(F.encode("url", "utf-8")).alias("url"))
 
 
-@query("t20_summary_line", sql("""SELECT doc_id, printf('%-20s gt=%-3d pipeline=%-3d matched=%-3d recall=%s', 'doc' || doc_id, gt_count, coalesce(pipeline_count, 0), matched, CASE WHEN matched = gt_count THEN 'all' ELSE 'part' END) AS line
-FROM (SELECT doc_id, count(*) AS gt_count, count(*) FILTER (iou >= 0.3::DOUBLE) AS matched FROM matches GROUP BY doc_id) LEFT JOIN (SELECT doc_id, count(*) AS pipeline_count FROM v_pred GROUP BY doc_id) USING (doc_id)""", GREEDY, True))
+TWO = lambda x: f"floor(({x}) * 100::DOUBLE + 0.5::DOUBLE) / 100::DOUBLE"
+
+
+@query("t20_summary_line", sql(f"""SELECT doc_id, printf('%-20s gt=%-3d pipeline=%-3d matched=%-3d recall=%.2f iou_avg=%.2f', 'doc' || doc_id, gt_count, coalesce(pipeline_count, 0), matched, {TWO('CAST(matched AS DOUBLE) / greatest(1, gt_count)')}, {TWO('total / greatest(1, matched)')}) AS line
+FROM (SELECT doc_id, count(*) AS gt_count, count(*) FILTER (iou >= 0.3::DOUBLE) AS matched, coalesce(list_reduce(list_prepend(0::DOUBLE, list(iou ORDER BY gt_idx) FILTER (iou >= 0.3::DOUBLE)), lambda a, b: a + b), 0::DOUBLE) AS total FROM matches GROUP BY doc_id) LEFT JOIN (SELECT doc_id, count(*) AS pipeline_count FROM v_pred GROUP BY doc_id) USING (doc_id)""", GREEDY, True))
 def _(spark, sf):
     found, _, predicted = matched(spark, sf)
-    full = F.when(F.col("matched") == F.col("gt_count"), "all").otherwise("part")
     name = F.concat(F.lit("doc"), F.col("doc_id").cast("string"))
-    line = F.format_string("%-20s gt=%-3d pipeline=%-3d matched=%-3d recall=%s", name, "gt_count", "pipeline_count", "matched", full)
-    return matching.report(found, predicted).select("doc_id", line.alias("line"))
+    return matching.report(found, predicted).select("doc_id", matching.summary_line(name).alias("line"))
 
 
 @query("t23_progress_label", sql("SELECT doc_id % 50 AS job, CASE WHEN count(*) FILTER (dense) > 0 THEN 'OCR (' || count(*) FILTER (dense) || ' dense / ' || count(*) FILTER (NOT dense) || ' sparse)' ELSE 'OCR' END AS label FROM (SELECT doc_id, count(*) > 60 AS dense FROM v_boxes GROUP BY doc_id) GROUP BY doc_id % 50"))
@@ -809,7 +819,10 @@ def _(spark, sf):
     said = found.join(truth.select("doc_id", F.col("box_idx").alias("gt_idx"), F.col("text").alias("x")), ["doc_id", "gt_idx"])
     said = said.join(predicted.select("doc_id", F.col("box_idx").alias("pred_idx"), F.col("text").alias("y")), ["doc_id", "pred_idx"], "left")
     alike = F.when(F.col("pred_idx").isNotNull(), similar(F.col("x"), F.col("y")))
-    return said.select("doc_id", alike.alias("s")).groupBy("doc_id").agg(F.coalesce(F.avg("s"), F.lit(0.0)).alias("similarity"))
+    # in order, so that the sum is the same each time
+    held = F.array_sort(F.collect_list(F.when(F.col("s").isNotNull(), F.struct("gt_idx", "s"))))
+    total = F.expr("aggregate(held, 0D, (a, x) -> a + x.s) / greatest(1, size(held))")
+    return said.select("doc_id", "gt_idx", alike.alias("s")).groupBy("doc_id").agg(held.alias("held")).select("doc_id", total.alias("similarity"))
 
 
 @query("a20_blank_deviation", f"SELECT vec_id, {SIX('stddev_pop(v)')} AS deviation, stddev_pop(v) < 12 AS blank FROM (SELECT vec_id, CAST(floor(128 + 100 * CAST(unnest(embedding) AS DOUBLE)) AS INTEGER) AS v FROM embeddings) GROUP BY vec_id")
@@ -826,9 +839,9 @@ def _(spark, sf):
     return table(spark, sf, "events").select("event_id", "user_id", F.row_number().over(w.orderBy("ts", "event_id")).alias("completed"), F.count(F.lit(1)).over(w).alias("total"))
 
 
-@query("w08_first_box_per_tag", sql("SELECT doc_id, tag, first, coalesce(first >= lag(first) OVER (PARTITION BY doc_id ORDER BY tag), true) AS rising FROM (SELECT doc_id, substring(text, 1, 1) AS tag, min(box_idx) AS first FROM v_boxes GROUP BY ALL)"))
+@query("w08_first_box_per_tag", sql("SELECT doc_id, tag, first, coalesce(first >= lag(first) OVER (PARTITION BY doc_id ORDER BY tag), true) AS rising FROM (SELECT doc_id, text AS tag, min(box_idx) AS first FROM v_boxes GROUP BY ALL)"))
 def _(spark, sf):
-    first = boxes(docs(spark, sf)).groupBy("doc_id", F.substring("text", 1, 1).alias("tag")).agg(F.min("box_idx").alias("first"))
+    first = boxes(docs(spark, sf)).groupBy("doc_id", F.col("text").alias("tag")).agg(F.min("box_idx").alias("first"))
     before = F.lag("first").over(Window.partitionBy("doc_id").orderBy("tag"))
     return first.withColumn("rising", F.coalesce(F.col("first") >= before, F.lit(True)))
 
@@ -840,13 +853,13 @@ def _(spark, sf):
     return held.where("a <= 10 or b <= 5").select("doc_id", "line_idx", "text")
 
 
-@query("u01_page_strategies", sql("SELECT b.doc_id, b.box_idx, CASE WHEN n > 60 THEN upper(substring(text, 1, 1)) ELSE substring(text, 1, 1) END AS text FROM v_boxes b WHERE ascii(substring(text, 1, 1)) < 128"))
+@query("u01_page_strategies", sql("SELECT doc_id, box_idx, text, CASE WHEN n > 60 THEN 'box by box' ELSE 'page' END AS read FROM v_boxes"))
 def _(spark, sf):
     """Dense pages one way, sparse pages another, and their union."""
-    held = boxes(docs(spark, sf)).withColumn("text", F.substring("text", 1, 1)).where(F.ascii("text") < 128)
+    held = boxes(docs(spark, sf)).select("doc_id", "box_idx", "text")
     dense = refine.dense_pages(boxes(docs(spark, sf))).where("dense").select("doc_id")
-    one = held.join(dense, "doc_id", "left_semi").withColumn("text", F.upper("text"))
-    return one.unionByName(held.join(dense, "doc_id", "left_anti")).select("doc_id", "box_idx", "text")
+    one = held.join(dense, "doc_id", "left_semi").withColumn("read", F.lit("box by box"))
+    return one.unionByName(held.join(dense, "doc_id", "left_anti").withColumn("read", F.lit("page")))
 
 
 @query("u06_lost_lines", sql("SELECT doc_id, text FROM v_lines EXCEPT SELECT doc_id, text FROM v_lines WHERE (doc_id + line_idx) % 3 <> 2"))

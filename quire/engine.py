@@ -56,14 +56,13 @@ def _kept(df: DataFrame, keep) -> DataFrame:
 
 
 def page_key(df: DataFrame) -> DataFrame:
-    """`df` with `page`, one number for document and page, which the page operators take for their group."""
-    return df.withColumn("page", F.xxhash64("doc_id", "page_index"))
+    """`df` with `page`, document and page as one value, which the page operators take for their group."""
+    return df.withColumn("page", F.struct(*KEYS))
 
 
 def aligned(boxes: DataFrame, lines: DataFrame) -> DataFrame:
     """(doc_id, page_index, box_idx, box, text): lines bound to the boxes of their page, by the page operators."""
     paged, said = page_key(boxes), page_key(lines)
-    names = paged.select("page", *KEYS).unionByName(said.select("page", *KEYS)).distinct()
     own = paged.select(F.col("page").alias("doc_id"), "box_idx", "box")
     told = said.select(F.col("page").alias("doc_id"), "line_idx", "text")
     ranked = ordering.row_major(own).join(ordering.column_major(own).select("doc_id", "box_idx", "column_rank"), ["doc_id", "box_idx"])
@@ -73,10 +72,10 @@ def aligned(boxes: DataFrame, lines: DataFrame) -> DataFrame:
     both = sides.join(lengths, "doc_id", "full")
     ints, doubles = F.array().cast("array<int>"), F.array().cast("array<double>")
     both = both.select("doc_id", F.coalesce("lengths", ints).alias("lengths"), F.coalesce("areas", doubles).alias("areas"), F.coalesce("by_row", ints).alias("by_row"), F.coalesce("by_column", ints).alias("by_column"))
-    found = alignment.aligned_text(told, own, alignment.aligned_pages(both))
+    found = alignment.aligned_text(told, alignment.aligned_pages(both))
     whole = G.box(F.lit(0.0), F.lit(0.0), F.lit(1.0), F.lit(1.0))
     placed = found.join(own, ["doc_id", "box_idx"], "left").select(F.col("doc_id").alias("page"), F.greatest("box_idx", F.lit(0)).alias("box_idx"), F.coalesce("box", whole).alias("box"), "text")
-    return placed.join(names, "page").select(*KEYS, "box_idx", "box", "text")
+    return placed.select("page.*", "box_idx", "box", "text")
 
 
 def hybrid(
@@ -127,12 +126,12 @@ def grounded(docs: DataFrame, reader: models.Reader, settings: Settings | None =
     return Result(blocks.select(*KEYS, "box_idx", "box", "text"), lines, pages, [(x, 1, 1, x) for x in ("ocr", "embed")])
 
 
-def output_files(result: Result, page_width: float = G.PAGE_WIDTH, page_height: float = G.PAGE_HEIGHT, assemble: sinks.Assembler = sinks.sandwich) -> DataFrame:
-    """(doc_id, content) of each document's searchable file; pages have one size in points."""
-    cut = layer.tall_slices(layer.line_slices(result.boxes.where(X.strip(F.col("text")) != "")).drop("slice_idx"), page_width, page_height)
-    spans = sinks_scaled(layer.drawn(cut, page_width, page_height))
-    pages = result.pages.withColumns({"page_width": F.lit(page_width), "page_height": F.lit(page_height)})
-    return sinks.assembled(pages, spans, assemble)
+def output_files(result: Result, docs: DataFrame, rasterizer: Rasterizer | None = None, dpi: int = 200, assemble: sinks.Assembler = sinks.sandwich) -> DataFrame:
+    """(doc_id, content) of each document's searchable file: all pages of `docs`, read or not, at their own size."""
+    sized = result.boxes.join(result.pages.select(*KEYS, "page_width", "page_height"), KEYS)
+    width, height = F.col("page_width"), F.col("page_height")
+    cut = layer.tall_slices(layer.line_slices(sized.where(X.strip(F.col("text")) != "")).drop("slice_idx"), width, height)
+    return sinks.assembled(docs, sinks_scaled(layer.drawn(cut, width, height)), rasterizer or PlainPages(), dpi, assemble)
 
 
 def sinks_scaled(spans: DataFrame) -> DataFrame:

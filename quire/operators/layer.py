@@ -25,7 +25,7 @@ def line_slices(boxes: DataFrame) -> DataFrame:
     return cut.withColumn("box", F.when(F.col("n") > 1, sliced).otherwise(b)).drop("n").where("text <> ''")
 
 
-def pieces_of(b: Column, words: Column, width: float, height: float) -> Column:
+def pieces_of(b: Column, words: Column, width: float | Column, height: float | Column) -> Column:
     """Into how many lines a tall box is cut: two, three if very tall, no more than it has words; one if it isn't tall."""
     tall = b["y1"] - b["y0"]
     aspect = (b["y1"] * height - b["y0"] * height) / F.greatest(F.lit(0.01), b["x1"] * width - b["x0"] * width)
@@ -33,42 +33,59 @@ def pieces_of(b: Column, words: Column, width: float, height: float) -> Column:
     return F.when((tall > G.TALL) & (aspect > G.TALL_ASPECT) & (F.size(words) >= 2), n).otherwise(1)
 
 
-def tall_slices(boxes: DataFrame, width: float = G.PAGE_WIDTH, height: float = G.PAGE_HEIGHT) -> DataFrame:
-    """Tall boxes cut into lines of words, again as long as the pieces are tall; `path` orders the pieces. Full pages stay."""
-    now = boxes.withColumn("path", F.lit(""))
-    names = boxes.columns
+def tall_slices(boxes: DataFrame, width: float | Column = G.PAGE_WIDTH, height: float | Column = G.PAGE_HEIGHT) -> DataFrame:
+    """Tall boxes cut into lines of words, again as long as the pieces are tall; `path` orders the pieces. Full pages stay.
+
+    Words are split once; the pieces are slices of them.
+    """
+    words = F.filter(F.split(X.strip(F.col("text")), f"{X.SPACE}+"), lambda w: w != "")
+    now = boxes.withColumn("path", F.lit("")).withColumn("w", words).withColumn("whole", F.lit(True))
     for _ in range(LEVELS):
-        words = F.filter(F.split(X.strip(F.col("text")), f"{X.SPACE}+"), lambda w: w != "")
-        held = now.withColumn("w", words)
         n = F.when(F.col("full_page"), 1).otherwise(pieces_of(F.col("box"), F.col("w"), width, height))
-        held = held.withColumn("n", n).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+        held = now.withColumn("n", n).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
         b = F.col("box")
         tall = (b["y1"] - b["y0"]) / F.col("n")
         start = F.bround(F.col("k") * F.size("w") / F.col("n")).cast("int")
         end = F.bround((F.col("k") + 1) * F.size("w") / F.col("n")).cast("int")
-        own = F.array_join(F.slice("w", start + 1, end - start), " ")
         cut = F.col("n") > 1
         sliced = G.box(b["x0"], b["y0"] + F.col("k") * tall, b["x1"], b["y0"] + (F.col("k") + 1) * tall)
-        held = held.withColumn("box", F.when(cut, sliced).otherwise(b)).withColumn("text", F.when(cut, own).otherwise(F.col("text")))
-        now = held.withColumn("path", F.concat("path", F.col("k").cast("string"))).select(*names, "path").where("text <> ''")
-    return now
+        now = held.withColumns({
+            "box": F.when(cut, sliced).otherwise(b), "w": F.when(cut, F.slice("w", start + 1, end - start)).otherwise(F.col("w")),
+            "whole": F.col("whole") & ~cut, "path": F.concat("path", F.col("k").cast("string")),
+        }).drop("n", "k")
+    text = F.when(F.col("whole"), F.col("text")).otherwise(F.array_join("w", " "))
+    return now.withColumn("text", text).select(*boxes.columns, "path").where("text <> ''")
+
+
+def page_lines(boxes: DataFrame) -> DataFrame:
+    """Full pages as one row for each of their lines; `line` counts them, and is 0 elsewhere."""
+    lines = F.when(F.col("full_page"), X.lines(F.col("text"))).otherwise(F.array("text"))
+    cut = boxes.withColumn("lines", lines)
+    return cut.select(*[c for c in boxes.columns if c != "text"], F.posexplode("lines").alias("line", "text")).select(*boxes.columns, "line")
 
 
-def drawn(pieces: DataFrame, width: float = G.PAGE_WIDTH, height: float = G.PAGE_HEIGHT) -> DataFrame:
+def drawn(pieces: DataFrame, width: float | Column = G.PAGE_WIDTH, height: float | Column = G.PAGE_HEIGHT) -> DataFrame:
     """`pieces` with x, baseline_y, font_size and target_width in points; boxes without area are gone.
 
-    The horizontal scale is target_width over the text's natural width, which only a font knows: scaled_to takes it.
+    The lines of a full page stand below each other from its top, small and as wide as they are: their target is the
+    page between its margins, which scaled_to takes for a limit. Elsewhere the horizontal scale is target_width over the
+    text's natural width, which only a font knows.
     """
+    pieces = page_lines(pieces)
     b = G.scaled(F.col("box"), F.lit(width), F.lit(height))
     held = pieces.withColumn("pt", b).where("pt.x1 - pt.x0 > 0 and pt.y1 - pt.y0 > 0")
-    size = F.when(F.col("full_page"), F.lit(G.TEXTBOX_FONT)).otherwise(G.font_size(F.col("pt.y1") - F.col("pt.y0")))
-    x = F.when(F.col("full_page"), F.lit(G.TEXTBOX_INSET)).otherwise(F.col("pt.x0"))
-    target = F.greatest(F.lit(1.0), (F.col("pt.x1") - F.col("pt.x0")) * G.FILL)
-    return held.withColumn("font_size", size).select(
-        *pieces.columns, x.alias("x"), (F.col("pt.y1") + F.lit(G.DESCENDER) * F.col("font_size")).alias("baseline_y"), "font_size", target.alias("target_width")
-    )
+    page, inset, font = F.col("full_page"), F.lit(G.TEXTBOX_INSET), F.lit(G.TEXTBOX_FONT)
+    size = F.when(page, font).otherwise(G.font_size(F.col("pt.y1") - F.col("pt.y0")))
+    x = F.when(page, inset).otherwise(F.col("pt.x0"))
+    wide = F.col("pt.x1") - F.col("pt.x0")
+    target = F.greatest(F.lit(1.0), F.when(page, wide - 2 * inset).otherwise(wide * G.FILL))
+    from_top = inset + G.ASCENDER * font + F.col("line") * (G.ASCENDER - G.DESCENDER) * font
+    below = F.when(page, from_top).otherwise(F.col("pt.y1") + F.lit(G.DESCENDER) * F.col("font_size"))
+    return held.withColumn("font_size", size).select(*pieces.columns, x.alias("x"), below.alias("baseline_y"), "font_size", target.alias("target_width"))
 
 
 def scaled_to(spans: DataFrame, natural_width: Column) -> DataFrame:
     """`spans` with scale_x, given each text's natural width at its font size; texts without width are gone."""
-    return spans.withColumn("natural", natural_width).where("natural > 0").withColumn("scale_x", F.col("target_width") / F.col("natural")).drop("natural")
+    scale = F.col("target_width") / F.col("natural")
+    scale = F.when(F.col("full_page"), F.least(F.lit(1.0), scale)).otherwise(scale)
+    return spans.withColumn("natural", natural_width).where("natural > 0").withColumn("scale_x", scale).drop("natural")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import struct
+import zlib
 from collections.abc import Iterator
 from typing import Protocol
 
@@ -13,11 +15,11 @@ from pyspark.sql import functions as F
 from quire.functions import text as X
 
 BINARY_FILE = "path string, modificationTime timestamp, length bigint, content binary"
-PAGE = "doc_id bigint, page_index int, n_pages int, image binary, width int, height int"
 
 
 def _named(files: DataFrame) -> DataFrame:
-    return files.select(F.xxhash64("path").alias("doc_id"), "path", X.is_image(F.col("path")).alias("is_image"), "content")
+    """A document's id is its path: different files never share one."""
+    return files.select(F.col("path").alias("doc_id"), "path", X.is_image(F.col("path")).alias("is_image"), "content")
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
@@ -33,58 +35,97 @@ def landing(spark: SparkSession, folder: str, per_batch: int = 100) -> DataFrame
 
 def read_fixtures(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, raw): each file's JSON as one text, for the parsers of answers and of ground truth."""
-    return spark.read.text(path, wholetext=True).select(F.xxhash64("_metadata.file_path").alias("doc_id"), F.col("value").alias("raw"))
+    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("doc_id"), F.col("value").alias("raw"))
 
 
 class Rasterizer(Protocol):
-    """Turns files into page images."""
+    """Turns files into page images. A file is opened once for all that is asked of it."""
 
-    def count(self, content: bytes, is_image: bool) -> int: ...
+    def sizes(self, content: bytes, is_image: bool) -> list[tuple[float, float]]:
+        """(width, height) of each page in points."""
 
-    def render(self, content: bytes, is_image: bool, page: int, dpi: int, most: int) -> tuple[bytes, int, int]:
-        """(image, width, height) of a page, its longest edge at most `most` pixels."""
+    def render(self, content: bytes, is_image: bool, pages: list[int], dpi: int, most: int) -> Iterator[tuple[bytes, int, int]]:
+        """(image, width, height) of each of `pages`, for models: the longest edge has `most` pixels at most."""
+
+    def backgrounds(self, content: bytes, is_image: bool, dpi: int) -> Iterator[tuple[bytes, int, int]]:
+        """(image, width, height) of all pages, for output: pages at `dpi`, images as they are."""
 
 
 class PlainPages:
-    """The rasterizer of this engine's own test format: pages of PGM images, one after the other in a file."""
+    """The rasterizer of this engine's own test format: pages of PGM images, one after the other in a file, a point a pixel."""
 
     @staticmethod
-    def _images(content: bytes) -> list[bytes]:
-        return [b"P5" + x for x in content.split(b"P5\n")[1:]] if b"P5\n" in content else []
+    def _images(content: bytes) -> list[np.ndarray]:
+        return [decoded(b"P5\n" + x) for x in content.split(b"P5\n")[1:]]
+
+    def sizes(self, content: bytes, is_image: bool) -> list[tuple[float, float]]:
+        return [(float(x.shape[1]), float(x.shape[0])) for x in self._images(content)]
 
-    def count(self, content: bytes, is_image: bool) -> int:
-        return content.count(b"P5\n")
+    def render(self, content: bytes, is_image: bool, pages: list[int], dpi: int, most: int) -> Iterator[tuple[bytes, int, int]]:
+        every = self._images(content) if pages else []
+        for page in pages:
+            image = shrunk(every[page], most)
+            yield png(image), image.shape[1], image.shape[0]
 
-    def render(self, content: bytes, is_image: bool, page: int, dpi: int, most: int) -> tuple[bytes, int, int]:
-        image = shrunk(decoded(b"P5\n" + content.split(b"P5\n")[page + 1]), most)
-        return encoded(image), image.shape[1], image.shape[0]
+    def backgrounds(self, content: bytes, is_image: bool, dpi: int) -> Iterator[tuple[bytes, int, int]]:
+        for image in self._images(content):
+            image = image if is_image else resized(image, *(round(x * dpi / 72) for x in image.shape[::-1]))
+            yield png(image), image.shape[1], image.shape[0]
 
 
 class RenderedPages:
     """The rasterizer of PDF and image files, where PyMuPDF and Pillow are installed; nothing here needs them."""
 
-    def count(self, content: bytes, is_image: bool) -> int:
+    #: Qualities of pictures for models, by kind of file, and of those for output.
+    QUALITY = {False: 50, True: 80}
+    OUTPUT_QUALITY = {False: 80, True: 85}
+
+    @staticmethod
+    def _frames(content: bytes, is_image: bool, pages: list[int] | None, dpi: int) -> Iterator:
+        import io
+
+        from PIL import Image, ImageSequence
+
+        if is_image:
+            with Image.open(io.BytesIO(content)) as image:
+                for i, frame in enumerate(ImageSequence.Iterator(image)):
+                    if pages is None or i in pages:
+                        yield frame.convert("RGB").copy()
+            return
         import fitz
 
         with fitz.open(stream=content) as doc:
-            return len(doc)
-
-    def render(self, content: bytes, is_image: bool, page: int, dpi: int, most: int) -> tuple[bytes, int, int]:
-        import io
+            for i in range(len(doc)) if pages is None else pages:
+                yield Image.open(io.BytesIO(doc[i].get_pixmap(dpi=dpi).tobytes("png"))).convert("RGB")
 
+    def sizes(self, content: bytes, is_image: bool) -> list[tuple[float, float]]:
+        if is_image:
+            return [tuple(map(float, frame.size)) for frame in self._frames(content, True, None, 72)]
         import fitz
-        from PIL import Image
 
         with fitz.open(stream=content) as doc:
-            picture = Image.open(io.BytesIO(doc[page].get_pixmap(dpi=dpi).tobytes("png"))).convert("RGB")
-        picture.thumbnail((most, most))
+            return [(page.rect.width, page.rect.height) for page in doc]
+
+    @staticmethod
+    def _jpeg(picture, quality: int) -> tuple[bytes, int, int]:
+        import io
+
         out = io.BytesIO()
-        picture.save(out, "JPEG", quality=80 if is_image else 50)
+        picture.save(out, "JPEG", quality=quality)
         return out.getvalue(), *picture.size
 
+    def render(self, content: bytes, is_image: bool, pages: list[int], dpi: int, most: int) -> Iterator[tuple[bytes, int, int]]:
+        for picture in self._frames(content, is_image, pages, dpi):
+            picture.thumbnail((most, most))
+            yield self._jpeg(picture, self.QUALITY[is_image])
+
+    def backgrounds(self, content: bytes, is_image: bool, dpi: int) -> Iterator[tuple[bytes, int, int]]:
+        for picture in self._frames(content, is_image, None, dpi):
+            yield self._jpeg(picture, self.OUTPUT_QUALITY[is_image])
+
 
 def decoded(image: bytes) -> np.ndarray:
-    """Gray values of a PGM image; of any other kind where Pillow is installed."""
+    """Gray values of a PGM image or of one that `png` made; of any other kind where Pillow is installed."""
     if image.startswith(b"P5"):
         fields, at = [], 2
         while len(fields) < 3:
@@ -97,6 +138,12 @@ def decoded(image: bytes) -> np.ndarray:
             at = end
         width, height, _ = fields
         return np.frombuffer(image, np.uint8, width * height, at + 1).reshape(height, width)
+    if image.startswith(PNG) and image[24:26] == b"\x08\x00" and image[37:41] == b"IDAT" and image[-8:-4] == b"IEND":
+        width, height, size = *struct.unpack(">II", image[16:24]), struct.unpack(">I", image[33:37])[0]
+        if len(image) == 41 + size + 4 + 12:
+            rows = np.frombuffer(zlib.decompress(image[41 : 41 + size]), np.uint8).reshape(height, width + 1)
+            if not rows[:, 0].any():
+                return rows[:, 1:]
     import io
 
     from PIL import Image
@@ -108,6 +155,25 @@ def encoded(gray: np.ndarray) -> bytes:
     return b"P5\n%d %d 255\n" % (gray.shape[1], gray.shape[0]) + np.ascontiguousarray(gray, np.uint8).tobytes()
 
 
+PNG = b"\x89PNG\r\n\x1a\n"
+
+
+def png(gray: np.ndarray) -> bytes:
+    """A gray image as a PNG file, which models and PDF readers know."""
+
+    def chunk(kind: bytes, data: bytes) -> bytes:
+        return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+
+    height, width = gray.shape
+    rows = np.zeros((height, width + 1), np.uint8)  # each begins with the number of its filter, none
+    rows[:, 1:] = gray
+    return PNG + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(rows.tobytes(), 6)) + chunk(b"IEND", b"")
+
+
+def media_type(image: bytes) -> str:
+    return "image/png" if image.startswith(PNG) else "image/jpeg" if image.startswith(b"\xff\xd8") else "image/x-portable-graymap"
+
+
 def resized(gray: np.ndarray, width: int, height: int) -> np.ndarray:
     rows = np.arange(height) * gray.shape[0] // height
     return gray[rows][:, np.arange(width) * gray.shape[1] // width]
@@ -121,26 +187,31 @@ def shrunk(gray: np.ndarray, most: int) -> np.ndarray:
 
 
 def page_rows(docs: DataFrame, rasterizer: Rasterizer, pages: str | None = None, dpi: int = 150, most: int = 1024) -> DataFrame:
-    """One row for each selected page of each document.
+    """One row for each selected page: doc_id, page_index, n_pages, image, width and height in pixels, page_width and page_height in points.
 
     Pages are counted first and selected by the list `pages` (all if empty); only selected ones are rendered.
     """
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    sizes = "array<struct<w:double,h:double>>"
 
-    def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def measure(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            n = [rasterizer.count(c.as_py(), k.as_py()) for c, k in zip(batch.column(2), batch.column(1))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n, pa.int32())], ["doc_id", "is_image", "content", "n_pages"])
+            found = [[{"w": w, "h": h} for w, h in rasterizer.sizes(c.as_py(), k.as_py())] for c, k in zip(batch.column(2), batch.column(1))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.list_(pa.struct([("w", pa.float64()), ("h", pa.float64())])))], ["doc_id", "is_image", "content", "sizes"])
 
     def render(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["doc_id", "page_index", "n_pages", "image", "width", "height", "page_width", "page_height"]
+        kinds = [pa.int32(), pa.int32(), pa.binary(), pa.int32(), pa.int32(), pa.float64(), pa.float64()]
         for batch in it:
-            for r in batch.to_pylist():
-                for page in r["wanted"]:
-                    image, width, height = rasterizer.render(r["content"], r["is_image"], page, dpi, most)
-                    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int32(), pa.int32()]
-                    row = [r["doc_id"], page, r["n_pages"], image, width, height]
-                    yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds)], ["doc_id", "page_index", "n_pages", "image", "width", "height"])
-
-    counted = docs.select("doc_id", "is_image", "content").mapInArrow(count, "doc_id bigint, is_image boolean, content binary, n_pages int")
-    every = F.when(F.col("n_pages") > 0, F.sequence(F.lit(0), F.col("n_pages") - 1)).otherwise(F.array().cast("array<int>"))
-    wanted = X.page_numbers(F.lit(pages), F.col("n_pages")) if pages else every
-    return counted.withColumn("wanted", wanted).mapInArrow(render, PAGE)
+            for i, r in enumerate(batch.to_pylist()):
+                n, wanted = len(r["sizes"]), r["wanted"]
+                for page, (image, width, height) in zip(wanted, rasterizer.render(r["content"], r["is_image"], wanted, dpi, most)):
+                    row = [page, n, image, width, height, r["sizes"][page]["w"], r["sizes"][page]["h"]]
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), *(pa.array([x], k) for x, k in zip(row, kinds))], names)
+
+    counted = docs.select("doc_id", "is_image", "content").mapInArrow(measure, f"doc_id {kind}, is_image boolean, content binary, sizes {sizes}")
+    n = F.size("sizes")
+    every = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    wanted = X.page_numbers(F.lit(pages), n) if pages else every
+    page = f"doc_id {kind}, page_index int, n_pages int, image binary, width int, height int, page_width double, page_height double"
+    return counted.withColumn("wanted", wanted).mapInArrow(render, page)

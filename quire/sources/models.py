@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions import geometry as G
+from quire.sources.documents import media_type
 
 # Seconds and tokens that a call may take
 PAGE_LIMITS, CROP_LIMITS, GROUNDED_LIMITS = (240.0, 6144), (60.0, 256), (240.0, 8192)
@@ -45,12 +46,13 @@ class ChatReader:
     temperature: float = 0.1
     base: str = field(default_factory=lambda: os.environ.get("LLM_API_BASE", "http://localhost:1234/v1"))
     model: str = field(default_factory=lambda: os.environ.get("LLM_MODEL", ""))
+    key: str = field(default_factory=lambda: os.environ.get("LLM_API_KEY", ""), repr=False)
 
     def __call__(self, image: bytes) -> str:
-        url = "data:image/jpeg;base64," + base64.b64encode(image).decode()
+        url = f"data:{media_type(image)};base64," + base64.b64encode(image).decode()
         content = [{"type": "text", "text": self.prompt}, {"type": "image_url", "image_url": {"url": url}}]
         body = {"model": self.model, "temperature": self.temperature, "max_tokens": self.tokens, "messages": [{"role": "user", "content": content}]}
-        request = urllib.request.Request(f"{self.base.rstrip('/')}/chat/completions", json.dumps(body).encode(), {"Content-Type": "application/json"})
+        request = urllib.request.Request(f"{self.base.rstrip('/')}/chat/completions", json.dumps(body).encode(), {"Content-Type": "application/json"} | ({"Authorization": f"Bearer {self.key}"} if self.key else {}))
         try:
             with urllib.request.urlopen(request, timeout=self.timeout) as answer:
                 return json.load(answer)["choices"][0]["message"]["content"] or ""
@@ -95,7 +97,7 @@ def detected(pages: DataFrame, detector: Detector, batch: int = 16) -> DataFrame
                 kind = pa.list_(pa.struct([(e, pa.float64()) for e in G.EDGES]))
                 yield pa.RecordBatch.from_arrays([*(some.column(k) for k in (0, 1, 3, 4)), pa.array(named, kind)], ["doc_id", "page_index", "width", "height", "found"])
 
-    found = pages.select("doc_id", "page_index", "image", "width", "height").mapInArrow(each, f"doc_id bigint, page_index int, width int, height int, found {inside}")
+    found = pages.select("doc_id", "page_index", "image", "width", "height").mapInArrow(each, f"doc_id {pages.schema['doc_id'].dataType.simpleString()}, page_index int, width int, height int, found {inside}")
     unit = F.transform("found", lambda b: G.normalized(b, F.col("width"), F.col("height")))
     ranked = F.array_sort(F.transform(unit, lambda b, i: F.struct(b["y0"].alias("y"), b["x0"].alias("x"), i.alias("i"), b.alias("box"))))
     one = found.select("doc_id", "page_index", F.posexplode(ranked).alias("box_idx", "r"))
@@ -136,20 +138,21 @@ def crops(pages: DataFrame, boxes: DataFrame, skip_blank: bool = True) -> DataFr
 
     A page is decoded once for all its boxes. Blank crops vary less than BLANK_DEVIATION in gray.
     """
-    from quire.sources.documents import decoded, encoded, resized
+    from quire.sources.documents import decoded, png, resized
 
     def each(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+        kinds = [pa.int32(), pa.int32(), pa.binary()]
         for batch in it:
-            for r in batch.to_pylist():
+            for i, r in enumerate(batch.to_pylist()):
                 gray = decoded(r["image"])
                 out = []
                 for b in r["rects"]:
                     cut = gray[b["y0"] : b["y1"], b["x0"] : b["x1"]]
                     blank = not cut.size or (skip_blank and float(cut.std()) < BLANK_DEVIATION)
-                    out.append(None if blank else encoded(resized(cut, b["w"], b["h"])))
-                columns = [[r["doc_id"]] * len(out), [r["page_index"]] * len(out), [b["box_idx"] for b in r["rects"]], out]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["doc_id", "page_index", "box_idx", "image"])
+                    out.append(None if blank else png(resized(cut, b["w"], b["h"])))
+                columns = [[r["page_index"]] * len(out), [b["box_idx"] for b in r["rects"]], out]
+                own = batch.column(0).take(pa.array([i] * len(out), pa.int64()))
+                yield pa.RecordBatch.from_arrays([own, *(pa.array(c, k) for c, k in zip(columns, kinds))], ["doc_id", "page_index", "box_idx", "image"])
 
     sized = boxes.join(pages.select("doc_id", "page_index", "width", "height"), ["doc_id", "page_index"])
     rect = sized.select("doc_id", "page_index", "box_idx", G.crop_rect(F.col("box"), F.col("width"), F.col("height")).alias("c"))
@@ -158,4 +161,4 @@ def crops(pages: DataFrame, boxes: DataFrame, skip_blank: bool = True) -> DataFr
     rows = F.struct("box_idx", *(F.col(f"c.{e}").alias(e) for e in G.EDGES), F.col("s.w").alias("w"), F.col("s.h").alias("h"))
     listed = rect.groupBy("doc_id", "page_index").agg(F.array_sort(F.collect_list(rows)).alias("rects"))
     joined = pages.select("doc_id", "page_index", "image").join(listed, ["doc_id", "page_index"])
-    return joined.mapInArrow(each, "doc_id bigint, page_index int, box_idx int, image binary")
+    return joined.mapInArrow(each, f"doc_id {pages.schema['doc_id'].dataType.simpleString()}, page_index int, box_idx int, image binary")

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions import geometry as G
+from quire.sources.documents import Rasterizer
 
 # Advance widths of Helvetica in thousandths, for the characters from space to tilde
 WIDTHS = [
@@ -145,33 +146,39 @@ def layer_rows(docs: DataFrame) -> DataFrame:
         names = [x.split()[0] for x in LAYER.split(", ")]
         kinds = [pa.int32(), pa.float64(), pa.float64(), pa.string(), *[pa.float64()] * 4]
         for batch in it:
-            for r in batch.to_pylist():
+            for i, r in enumerate(batch.to_pylist()):
                 rows = layer_of(r["content"])
                 columns = [pa.array([x[n] for x in rows], k) for n, k in zip(names, kinds)]
-                yield pa.RecordBatch.from_arrays([pa.array([r["doc_id"]] * len(rows), pa.int64()), *columns], ["doc_id", *names])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([i] * len(rows), pa.int64())), *columns], ["doc_id", *names])
 
-    return docs.select("doc_id", "content").mapInArrow(each, f"doc_id bigint, {LAYER}")
+    return docs.select("doc_id", "content").mapInArrow(each, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {LAYER}")
 
 
 Assembler = Callable[[list[dict]], bytes]
 
 
-def assembled(pages: DataFrame, spans: DataFrame, assemble: Assembler = sandwich) -> DataFrame:
-    """(doc_id, content): one file for each document. Pages (doc_id, page_index, image, width, height in pixels,
-    page_width, page_height in points) without spans stay, blank."""
-    span = F.struct("box_idx", "path", "text", "x", "baseline_y", "font_size", "scale_x")
-    listed = spans.groupBy("doc_id", "page_index").agg(F.array_sort(F.collect_list(span)).alias("spans"))
-    row = F.struct("page_index", "image", F.col("page_width").alias("width"), F.col("page_height").alias("height"), F.col("width").alias("pixel_width"), F.col("height").alias("pixel_height"), "spans")
-    both = pages.join(listed, ["doc_id", "page_index"], "left").select("doc_id", row.alias("p"))
-    whole = both.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(F.col("p.page_index").alias("o"), F.to_json(F.struct("p.spans")).alias("s"), F.col("p.image").alias("image"), *(F.col(f"p.{c}").alias(c) for c in ("width", "height", "pixel_width", "pixel_height"))))).alias("pages"))
+def assembled(docs: DataFrame, spans: DataFrame, rasterizer: Rasterizer, dpi: int = 200, assemble: Assembler = sandwich) -> DataFrame:
+    """(doc_id, content): one file for each of `docs`, with all of its pages at their own size.
 
-    def each(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import json
+    Pages without spans stay, without text. A document's pictures are made where its file is put together, so that none
+    of them travels.
+    """
+    span = F.struct("page_index", "box_idx", "path", "line", "text", "x", "baseline_y", "font_size", "scale_x")
+    listed = spans.groupBy("doc_id").agg(F.array_sort(F.collect_list(span)).alias("spans"))
 
+    def each(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            for r in batch.to_pylist():
-                for p in r["pages"]:
-                    p["spans"] = json.loads(p.pop("s")).get("spans") or []
-                yield pa.RecordBatch.from_arrays([pa.array([r["doc_id"]], pa.int64()), pa.array([assemble(r["pages"])], pa.binary())], ["doc_id", "content"])
-
-    return whole.mapInArrow(each, "doc_id bigint, content binary")
+            for i, r in enumerate(batch.to_pylist()):
+                own: dict[int, list[dict]] = {}
+                for s in r["spans"] or ():
+                    own.setdefault(s["page_index"], []).append(s)
+                sizes = rasterizer.sizes(r["content"], r["is_image"])
+                pictures = rasterizer.backgrounds(r["content"], r["is_image"], dpi)
+                pages = [
+                    {"width": w, "height": h, "image": image, "pixel_width": pw, "pixel_height": ph, "spans": own.get(n, [])}
+                    for n, ((w, h), (image, pw, ph)) in enumerate(zip(sizes, pictures))
+                ]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), pa.array([assemble(pages)], pa.binary())], ["doc_id", "content"])
+
+    both = docs.select("doc_id", "is_image", "content").join(listed, "doc_id", "left")
+    return both.mapInArrow(each, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, content binary")

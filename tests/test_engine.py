@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from quire import engine
 from quire.sources import models, sinks
-from quire.sources.documents import PlainPages, decoded, encoded, landing, page_rows, read_documents, resized, shrunk
-from quire.sources.standins import WIDTH, crop_reader, detector, grounded_reader, page, reader
+from quire.sources.documents import PlainPages, decoded, encoded, landing, media_type, page_rows, png, read_documents, resized, shrunk
+from quire.sources.standins import HEIGHT, WIDTH, crop_reader, detector, grounded_reader, page, reader
 from quire.streaming.progress import latest
 
 
@@ -23,7 +23,8 @@ def folder(tmp_path):
 
 def test_images():
     gray = np.arange(12, dtype=np.uint8).reshape(3, 4)
-    assert (decoded(encoded(gray)) == gray).all()
+    assert (decoded(encoded(gray)) == gray).all() and (decoded(png(gray)) == gray).all()
+    assert media_type(png(gray)) == "image/png" and media_type(b"\xff\xd8x") == "image/jpeg"
     assert resized(gray, 8, 6).shape == (6, 8) and shrunk(gray, 2).shape == (2, 2) and shrunk(gray, 9) is gray
 
 
@@ -45,12 +46,12 @@ def test_hybrid_job(spark, folder):
     assert sorted({s for s, *_ in result.progress}) == ["convert", "detect", "embed", "ocr", "refine"]
     texts = {r.doc_id: json.loads(r.text) for r in sinks.job_texts(result.lines).collect()}
     assert sorted(len(t) for t in texts.values()) == [1, 2]
-    files = engine.output_files(result, 612.0, 792.0).cache()
+    files = engine.output_files(result, docs).cache()
     spans = sinks.layer_rows(files).collect()
     assert files.count() == 2 and {s.text for s in spans} >= {"line number 1 of the page"}
     for s in spans:
-        width = 0.98 * (360 - 40) / WIDTH * 612
-        assert s.x == pytest.approx(40 / WIDTH * 612, abs=0.01) and 0 < s.baseline_y < 792
+        width = 0.98 * (360 - 40)
+        assert s.x == pytest.approx(40, abs=0.01) and 0 < s.baseline_y < HEIGHT and (s.page_width, s.page_height) == (WIDTH, HEIGHT)
         assert sum(sinks.WIDTHS[ord(c) - 32] for c in s.text) * s.font_size / 1000 * s.scale_x == pytest.approx(width, rel=1e-3)
     assert all(bytes(r.content).startswith(b"%PDF-1.4") for r in files.collect())
 
@@ -69,9 +70,10 @@ def test_a_failing_reader_ends_a_hybrid_job_but_not_a_grounded_one(spark, folder
 
     with pytest.raises(Exception, match="model is down"):
         engine.hybrid(read_documents(spark, folder), detector, down, crop_reader).boxes.collect()
-    result = engine.grounded(read_documents(spark, folder), grounded_reader)
+    docs = read_documents(spark, folder)
+    result = engine.grounded(docs, grounded_reader)
     assert sorted(r.text for r in result.boxes.collect()) == ["block 0", "block 0", "block 1", "block 1", "block 2"]
-    assert engine.output_files(result).count() == 2
+    assert engine.output_files(result, docs).count() == 2
 
 
 def test_fixtures_round_trip(spark):
@@ -135,3 +137,39 @@ def test_landing_folder_and_progress_as_streams(spark, folder, tmp_path):
     events = spark.createDataFrame(rows, "job_id string, seq int, stage string, current int, total int, message string")
     assert {(r.job_id, r.percent) for r in latest(events).collect()} == {("j", 50), ("k", 90)}
     assert os.path.isdir(seen)
+
+
+def test_unselected_pages_are_in_the_file(spark, tmp_path):
+    (tmp_path / "c.pdf").write_bytes(page([40]) + page([100]) + encoded(np.full((300, 200), 255, np.uint8)))
+    docs = read_documents(spark, str(tmp_path))
+    result = engine.hybrid(docs, detector, reader, crop_reader, engine.Settings(pages="2"))
+    assert result.pages.count() == 1
+    content = bytes(engine.output_files(result, docs, dpi=144).first().content)
+    assert content.count(b"/Type /Page /Parent") == 3
+    assert content.count(b"/MediaBox [0 0 400.0000 600.0000]") == 2 and content.count(b"/MediaBox [0 0 200.0000 300.0000]") == 1
+    assert content.count(b"/Width 800 /Height 1200") == 2 and content.count(b"/Width 400 /Height 600") == 1
+    assert {(s["page_index"], s["text"]) for s in sinks.layer_of(content)} == {(1, "line number 0 of the page")}
+    image = tmp_path / "only"
+    image.mkdir()
+    (image / "d.png").write_bytes(page([40]))
+    docs = read_documents(spark, str(image))
+    content = bytes(engine.output_files(engine.hybrid(docs, detector, reader, crop_reader), docs, dpi=144).first().content)
+    assert b"/Width 400 /Height 600" in content and b"/MediaBox [0 0 400.0000 600.0000]" in content
+
+
+def test_whole_pages_are_lines_from_the_top(spark):
+    box = "struct<x0:double,y0:double,x1:double,y1:double>"
+    long = "a very long line " * 30
+    boxes = spark.createDataFrame([("d", 0, 0, (0.0, 0.0, 1.0, 1.0), f"one\n\n two \n{long}", 612.0, 792.0)], f"doc_id string, page_index int, box_idx int, box {box}, text string, page_width double, page_height double")
+    from quire.operators import layer
+
+    cut = layer.tall_slices(layer.line_slices(boxes).drop("slice_idx"), F.col("page_width"), F.col("page_height"))
+    found = sorted(engine.sinks_scaled(layer.drawn(cut, F.col("page_width"), F.col("page_height"))).collect(), key=lambda r: r.line)
+    assert [(r.text, r.x, r.font_size) for r in found] == [("one", 10, 6), ("two", 10, 6), (long.strip(), 10, 6)]
+    assert [round(r.baseline_y, 3) for r in found] == [16.45, 24.694, 32.938] and [r.scale_x for r in found[:2]] == [1, 1] and found[2].scale_x < 1
+
+
+def test_crops_are_pictures_that_endpoints_read(spark, folder):
+    pages = page_rows(read_documents(spark, folder), PlainPages()).cache()
+    cut = models.crops(pages, models.detected(pages, detector)).where("image is not null").collect()
+    assert cut and all(media_type(bytes(r.image)) == "image/png" and decoded(bytes(r.image)).size for r in cut)

@@ -115,7 +115,7 @@ def test_pages_without_lines_or_boxes(spark):
     found = alignment.aligned_pages(pages)
     lines = spark.createDataFrame([(2, 0, "hello"), (3, 0, "one long line"), (4, 0, "first"), (4, 1, "other")], "doc_id bigint, line_idx int, text string")
     boxes = spark.createDataFrame([(d, i) for d, n in ((1, 2), (3, 5), (4, 2)) for i in range(n)], "doc_id bigint, box_idx int")
-    got = sorted(tuple(r) for r in alignment.aligned_text(lines, boxes, found).collect())
+    got = sorted(tuple(r) for r in alignment.aligned_text(lines, found).collect())
     assert got == [(1, 0, ""), (1, 1, ""), (2, -1, "hello"), (3, -1, "one long line"), (4, 0, "first"), (4, 1, "other")]
 
 
@@ -232,3 +232,22 @@ def test_similarity_is_that_of_difflib(spark):
     df = spark.createDataFrame(rows, "a string, b string").select("a", "b", similar(F.col("a"), F.col("b")).alias("s"))
     for r in df.collect():
         assert r.s == pytest.approx(difflib.SequenceMatcher(None, norm(r.a), norm(r.b)).ratio())
+
+
+def test_diagonals_equal_single_cells():
+    import random
+
+    rng = random.Random(5)
+    for _ in range(60):
+        lengths = [rng.choice([0, 1, 5, 20, 60]) for _ in range(rng.randint(1, 40))]
+        wanted = [max(1.0, rng.choice([0.5, 3.0, 20.0, 47.25])) for _ in range(rng.randint(1, 40))]
+        cost, steps = alignment.steps_of(lengths, wanted)
+        other, how = alignment.steps_by_diagonals(lengths, wanted)
+        assert cost == other and [list(x) for x in steps] == how.tolist()
+
+
+def test_alignment_runs_once(spark):
+    from quire import catalog
+
+    plan = catalog.QUERIES["n04_align_text"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
