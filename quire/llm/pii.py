@@ -29,8 +29,8 @@ BASE = {
 # Loose candidates; account numbers are what the card pattern matches and the card rule drops.
 LOOSE = {
     "local_phone": r"(?<![0-9+.-])\(?[2-9][0-9]{2}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9.-])",
-    "contact": r"(?i)(?<![a-z0-9._%+-])[a-z0-9._%+-]{1,64}\x20?[(\[]at[)\]]\x20?[a-z0-9-]{1,63}(?:\x20?(?:[(\[]dot[)\]]|\.)\x20?[a-z0-9-]{1,63})+",
-    "credential": r"(?i)\b(?:api[_-]?key|access[_-]?key|auth|key|passwd|password|secret|token)\x20?[=:]\x20?[\"']?[a-z0-9_+/=-]{16,128}",
+    "contact": r"(?i)(?<![a-z0-9._%+-])[a-z0-9._%+-]++\x20?[(\[]at[)\]]\x20?[a-z0-9-]++(?:\x20?(?:[(\[]dot[)\]]|\.)\x20?[a-z0-9-]++)++",
+    "credential": r"(?i)\b(?:api[_-]?key|access[_-]?key|auth|key|passwd|password|secret|token)\x20?[=:]\x20?[\"']?[a-z0-9_+/=-]{16,}+",
 }
 KINDS = [*BASE, "account", *LOOSE]
 ADDED = ["account", *LOOSE]
@@ -42,7 +42,12 @@ YES_WORDS = {
     "credential": r"api|secret|login|auth|deploy|export|config",
 }
 NO_WORDS = r"order|invoice|isbn|issn|page|version|item|sku|part no|ref|row|line|build"
-ENDINGS = r"com|org|net|edu|gov|info|io|de|fr|es|uk|eu|us|ch|at|it|nl"
+# Gazetteers. Issuers are ranges of an account's first four digits.
+ISSUERS = [(2221, 2720), (3400, 3499), (3528, 3589), (3700, 3799), (4000, 4999), (5100, 5599), (6011, 6011), (6200, 6299), (6440, 6599)]
+ENDINGS = ["com", "org", "net", "edu", "gov", "mil", "info", "biz", "io", "ai", "app", "dev", "eu", "uk", "de", "fr", "es", "it", "nl", "be", "ch", "at", "pt", "pl", "cz", "dk", "se", "no", "fi", "ie", "gr", "hu", "ro", "ru", "ua", "tr", "il", "in", "cn", "jp", "kr", "hk", "tw", "sg", "th", "vn", "id", "my", "ph", "au", "nz", "za", "ng", "ke", "eg", "br", "mx", "ar", "cl", "co", "pe", "ca", "us"]
+SECRET_WORDS = ["apikey", "accesskey", "token", "secret", "password", "passwd", "auth"]
+#: Matches that are put together at once; folds over more would copy all that they have.
+CHUNK = 256
 
 
 def digits(x: str) -> str:
@@ -66,13 +71,19 @@ SPAN = "array<struct<s:int,e:int,m:string,c:string>>"
 
 
 def located(matches: str, pieces: str) -> str:
-    """SQL: (start, end, match, what stands before it) of each match, in code points, from a text's matches and the pieces between them."""
+    """SQL: (start, end, match, what stands before it) of each match, in code points, from a text's matches and the pieces between them.
+
+    The fold goes by chunks, as each step copies what it has put together.
+    """
+    one = f"""(acc, x) -> struct(acc.at + length(x.p) + length(x.m) as at, array_append(acc.spans,
+        struct(acc.at + length(x.p) as s, acc.at + length(x.p) + length(x.m) as e, x.m as m, lower(right(x.p, 40)) as c)) as spans)"""
+    chunk = f"zip_with(slice({pieces}, i * {CHUNK} + 1, least({CHUNK}, size({matches}) - i * {CHUNK})), slice({matches}, i * {CHUNK} + 1, {CHUNK}), (p, m) -> struct(p, m))"
+    inner = f"aggregate({chunk}, struct(got.at as at, cast(array() as {SPAN}) as spans), {one})"
     return f"""case when size({matches}) > 0 then aggregate(
-        zip_with(slice({pieces}, 1, size({matches})), {matches}, (p, m) -> struct(p, m)),
-        struct(0 as at, cast(array() as {SPAN}) as spans),
-        (acc, x) -> struct(acc.at + length(x.p) + length(x.m) as at, array_append(acc.spans,
-            struct(acc.at + length(x.p) as s, acc.at + length(x.p) + length(x.m) as e, x.m as m, lower(right(x.p, 40)) as c)) as spans),
-        acc -> acc.spans) else cast(array() as {SPAN}) end"""
+        sequence(0, cast(floor((size({matches}) - 1) / {CHUNK}) as int)),
+        struct(0 as at, cast(array() as array<{SPAN}>) as chunks),
+        (got, i) -> transform(array({inner}), r -> struct(r.at as at, array_append(got.chunks, r.spans) as chunks))[0],
+        got -> flatten(got.chunks)) else cast(array() as {SPAN}) end"""
 
 
 def spans(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -95,18 +106,40 @@ def spans(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def votes(kind: str) -> list[str]:
     """SQL of the five labelers' votes on a candidate x: 1, 0, or -1 for none."""
     d = digits("x.m")
+    listed = lambda words: ", ".join(f"'{w}'" for w in words)
     context = f"case when x.c rlike '{YES_WORDS[kind]}' then 1 when x.c rlike '{NO_WORDS}' then 0 else -1 end"
+    issued = " or ".join(f"cast(substr({d}, 1, 4) as int) between {low} and {high}" for low, high in ISSUERS)
+    name = "regexp_replace(lower(regexp_extract(x.m, '^[^=:]*', 0)), '[^a-z]', '')"
+    value = r"regexp_extract(x.m, '[=:][^a-zA-Z0-9_+/=-]*([a-zA-Z0-9_+/=-]+)$', 1)"
     return {
         "account": [
-            f"if(length({d}) >= 15, 1, -1)",
+            f"if(length({d}) in (15, 16), 1, 0)",
             f"if({luhn(d)}, 1, 0)",
-            f"if({d} rlike '^(4|5[1-5]|2[2-7]|3[4-9]|6)', 1, 0)",
+            f"if({issued}, 1, 0)",
             context,
             "if(x.m rlike '[ -]', 1, -1)",
         ],
-        "local_phone": ["1", f"if(substr({d}, 4, 1) in ('0', '1'), 0, 1)", f"if(substr({d}, 1, 3) rlike '^[2-9][0-8][0-9]$', 1, 0)", context, "if(x.m like '(%', 1, -1)"],
-        "contact": ["1", "if(x.m rlike '[a-zA-Z]{2,}$', 1, 0)", f"if(lower(x.m) rlike '({ENDINGS})$', 1, 0)", context, "if(lower(x.m) like '%dot%', 1, -1)"],
-        "credential": ["1", "if(x.m rlike '[0-9]' and x.m rlike '[a-zA-Z]', 1, 0)", "if(lower(x.m) rlike '^(token|api|access|secret|passw)', 1, -1)", context, "if(x.m rlike '[\"\\']', 1, -1)"],
+        "local_phone": [
+            "if(x.m rlike '^[(].*[)]' or regexp_replace(x.m, '[0-9]', '') in ('--', '..', '  '), 1, 0)",
+            f"if(substr({d}, 4, 1) in ('0', '1'), 0, 1)",
+            f"if(substr({d}, 1, 3) rlike '^[2-9](?!11)[0-8][0-9]$' and substr({d}, 1, 2) not in ('37', '96'), 1, 0)",
+            context,
+            "if(x.m like '(%', 1, -1)",
+        ],
+        "contact": [
+            "if(lower(x.m) like '%(at)%' or lower(x.m) like '%[at]%', 1, 0)",
+            "if(x.m rlike '[a-zA-Z]{2,}$', 1, 0)",
+            f"if(regexp_extract(lower(x.m), '[a-z0-9-]+$', 0) in ({listed(ENDINGS)}), 1, 0)",
+            context,
+            "if(lower(x.m) like '%dot%', 1, -1)",
+        ],
+        "credential": [
+            f"if(length({value}) >= 20, 1, 0)",
+            f"if({value} rlike '[0-9]' and {value} rlike '[a-zA-Z]', 1, 0)",
+            f"if({name} in ({listed(SECRET_WORDS)}), 1, 0)",
+            context,
+            "if(x.m rlike '[\"\\']', 1, -1)",
+        ],
     }[kind]
 
 
@@ -174,11 +207,11 @@ def joined(parts: list[tuple[str, str]]) -> str:
 
 
 def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added) for every row of `docs`.
+    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added, n_spans) for every row of `docs`.
 
-    Offsets are code points, ends exclusive. Base spans are those of the strict kinds, and the counts are theirs; added
-    spans have kinds of their own and follow in `spans`, without those that meet a base span. Null texts are empty.
-    Repeated rows come out as often as they came in; other columns are ignored; an empty table gives no rows.
+    Offsets are code points, ends exclusive. Base spans are those of the strict kinds, and the counts are theirs;
+    n_spans counts base and added ones. Added spans have kinds of their own and follow in `spans`, without those that
+    meet a base span. Null texts are empty. Repeated rows come out as often as they came in; other columns are ignored; an empty table gives no rows.
     """
     found = written(voted(spans(docs, id_col, text_col)), "spans")
     # at most len(ADDED) * 3 ** len(LABELERS) rows
@@ -191,4 +224,4 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     added = [(k, f"filter(taken, y -> y.k = {i})") for i, k in enumerate(ADDED)]
     counts: list[Column] = [F.size(k).cast("bigint").alias(f"n_{k}") for k in BASE]
     spelled = F.expr(f"array_join(filter(array({joined(base)}, {joined(added)}), x -> x <> ''), ',')")
-    return out.select("doc_id", *counts, F.sha2(F.expr(joined(base)), 256).alias("base_sha256"), spelled.alias("spans"), F.size("taken").alias("n_added"))
+    return out.select("doc_id", *counts, F.sha2(F.expr(joined(base)), 256).alias("base_sha256"), spelled.alias("spans"), F.size("taken").cast("bigint").alias("n_added"), (sum(counts, F.lit(0)) + F.size("taken")).cast("bigint").alias("n_spans"))

@@ -79,3 +79,42 @@ def test_votes_find_the_truth():
     w = classifier(rows)
     assert w[len(ADDED)] > w[len(ADDED) + 3] > w[len(ADDED) + 4] - 0.2
     assert not classifier([]).any()
+
+
+def test_added_spans_have_precision_and_recall(spark):
+    """From texts to added spans: planted ones are found, look-alikes are not."""
+    rng = random.Random(10)
+    letters = "0123456789abcdef"
+    secret = lambda n: "".join(rng.choice(letters) for _ in range(n - 2)) + "a7"
+
+    def luhn(start, n):
+        d = start + "".join(rng.choice("0123456789") for _ in range(n - 1 - len(start)))
+        total = sum(x if i % 2 else sum(divmod(2 * x, 10)) for i, x in enumerate(map(int, reversed(d))))
+        return d + str(-total % 10)
+
+    good = {
+        "credential": lambda: f'{rng.choice(["token", "api_key", "password"])} = "{secret(rng.choice([32, 40, 400]))}"',
+        "contact": lambda: f"{rng.choice(['mail', 'write to', 'see'])} {secret(5)} (at) site{rng.randrange(99)} (dot) {rng.choice(['com', 'de'])}",
+        "local_phone": lambda: f"{rng.choice(['call', 'phone', ''])} ({rng.choice('23456789')}{rng.choice('02345678')}{rng.choice('02345')}) {rng.choice('23456789')}{rng.randrange(10, 99)}-{rng.randrange(1000, 9999)}",
+        "account": lambda: f"{rng.choice(['visa', 'account', 'pay with'])} {luhn('37', 15)}",
+    }
+    bad = {
+        "credential": lambda: f"key: {'x' * 16}",
+        "contact": lambda: f"meet [at) {rng.randrange(9)}.{rng.randrange(9)}",
+        "local_phone": lambda: f"part no 911.1{rng.randrange(10, 99)} {rng.randrange(1000, 9999)}",
+        "account": lambda: f"order {9000000000000000 + rng.randrange(10**13) * 10 + 1}",
+    }
+    rows, planted = [], set()
+    for i in range(1200):
+        kind, real = rng.choice(list(good)), rng.random() < 0.6
+        piece = (good if real else bad)[kind]()
+        rows.append((i, f"words before {piece} and after", "", ""))
+        if real:
+            planted.add((i, kind))
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    found = {(r.doc_id, x.split(":")[0]) for r in personal_data(docs).collect() for x in r.spans.split(",") if x.split(":")[0] in ADDED}
+    assert len(found & planted) >= 0.95 * len(planted) and len(found & planted) >= 0.95 * len(found)
+    long = personal_data(spark.createDataFrame([(1, rows[0][1], "", "")] + [(2, f'token = "{secret(400)}"', "", "")] * 9, SCHEMA)).collect()
+    assert {r.spans for r in long if r.doc_id == 2} == {"credential:0:409"}
+    many = personal_data(spark.createDataFrame([(1, "a@b.co " * 3000, "", "")], SCHEMA)).first()
+    assert many.n_email == many.n_spans == 3000 and many.spans.endswith(f"email:{7 * 2999}:{7 * 2999 + 6}")
