@@ -84,7 +84,7 @@ def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quire.llm.repeats import without_repeats
 
-    return without_repeats(table(spark, sf_dir, "documents")).drop("removed")
+    return without_repeats(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -281,25 +281,34 @@ def resolve(work: DataFrame, level: int = 0) -> DataFrame:
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, removed) for every row of `docs`.
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, removed, n_shared) for every row of `docs`.
 
     A byte goes if a string of LENGTH bytes that covers it starts anywhere else too, in the same or another row;
-    `removed` lists the maximal runs as (start, end) in bytes. Null texts are empty, short ones keep everything; rows
-    that repeat are copies of each other. Other columns are ignored; an empty table gives no rows.
+    `removed` lists the maximal runs as (start, end) in bytes. n_shared tells of shorter common passages, which stay:
+    it counts the text's anchors, strings of ANCHORS[0] bytes, that other texts hold too, and its further copies. Null
+    texts are empty, texts of fewer than LENGTH bytes keep everything and share nothing; rows that repeat are copies of
+    each other. Other columns are ignored; an empty table gives no rows.
     """
     text_batches(docs.sparkSession)
     first = written(first_pass(docs, id_col, text_col), "spans")
     found = first.where("p >= 0").select("a", "s", "n1", "n2", "p", "w", "at")
-    alike = found.groupBy("a", "s").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("n1", "n2", "p", "w", "at")).alias("one"))
+    alike = found.groupBy("a", "s").agg(
+        F.count(F.lit(1)).alias("n"), F.min(F.struct("n1", "n2", "p", "w", "at")).alias("one"), F.min("n1").alias("least"), F.max("n1").alias("most")
+    )
     alike = written(alike, "alike")
-    groups = alike.groupBy("a").agg(F.count(F.lit(1)).alias("kinds"), F.count_if(F.col("n") == 1).alias("single"))
-    groups = groups.where("kinds > 1 and single > 0").select("a")
-    undecided = alike.join(groups, "a", "left_semi").select("one.n1", "one.n2", "one.p", "one.w", "one.at", "a", (F.col("n") > 1).alias("known"))
-    whole = found.join(alike.where("n > 1").select("a", "s"), ["a", "s"], "left_semi")
-    whole = whole.select("n1", "n2", "p", "w", "at", F.lit(None).cast("bigint").alias("a"), F.lit(None).cast("boolean").alias("known")).distinct()
-    items = undecided.unionByName(whole).groupBy("n1", "n2").agg(F.collect_list(F.struct("p", "w", "at", "a", "known")).alias("items"))
-    texts = packed(docs, text_col).join(items, ["n1", "n2"]).groupBy("n1", "n2").agg(F.first("z").alias("z"), F.first("items").alias("items"))
-    touched = written(texts, "touched")
+    groups = alike.groupBy("a").agg(F.count(F.lit(1)).alias("kinds"), F.count_if(F.col("n") == 1).alias("single"), (F.min("least") < F.max("most")).alias("shared"))
+    groups = written(groups.where("kinds > 1 and single > 0 or shared"), "groups")
+    undecided = alike.join(groups.where("kinds > 1 and single > 0").select("a"), "a", "left_semi")
+    undecided = undecided.select("one.n1", "one.n2", "one.p", "one.w", "one.at", "a", (F.col("n") > 1).alias("known"), F.lit(True).alias("item"), F.lit(False).alias("shared"))
+    marks = alike.join(groups.where("shared").select("a", "shared"), "a", "left").where("n > 1 or shared")
+    marks = marks.select("a", "s", (F.col("n") > 1).alias("item"), F.coalesce("shared", F.lit(False)).alias("shared"))
+    met = found.join(marks, ["a", "s"])
+    met = met.select("n1", "n2", "p", "w", "at", F.lit(None).cast("bigint").alias("a"), F.lit(None).cast("boolean").alias("known"), "item", "shared").distinct()
+    item = F.when(F.col("item"), F.struct("p", "w", "at", "a", "known"))
+    items = undecided.unionByName(met).groupBy("n1", "n2").agg(F.collect_list(item).alias("items"), F.count_if("shared").alias("n_shared"))
+    # copies of a text are one row before they meet their items
+    texts = packed(docs, text_col).groupBy("n1", "n2").agg(F.first("z").alias("z"))
+    touched = written(texts.join(items, ["n1", "n2"]), "touched")
     runs = resolve(written(work_rows(touched), "work")).groupBy("n1", "n2").agg(F.collect_list(F.struct("p", "w")).alias("runs"))
 
     def cut(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -322,15 +331,19 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                         kept.update(text[last:a])
                         last = b
                     kept.update(text[last:])
-                    rows.append((r["n1"], r["n2"], int(gone.sum()), kept.hexdigest(), [{"start": a, "end": b} for a, b in zip(at[::2], at[1::2])]))
-                columns = list(zip(*rows)) or [()] * 5
-                types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["n1", "n2", "n_removed", "kept", "removed"])
+                    rows.append((r["n1"], r["n2"], r["n_shared"], int(gone.sum()), kept.hexdigest(), [{"start": a, "end": b} for a, b in zip(at[::2], at[1::2])]))
+                columns = list(zip(*rows)) or [()] * 6
+                types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["n1", "n2", "n_shared", "n_removed", "kept", "removed"])
 
-    ended = touched.join(runs, ["n1", "n2"], "left").mapInArrow(cut, "n1 bigint, n2 bigint, n_removed bigint, kept string, removed array<struct<start:bigint,end:bigint>>")
+    ended = touched.join(runs, ["n1", "n2"], "left").mapInArrow(cut, "n1 bigint, n2 bigint, n_shared bigint, n_removed bigint, kept string, removed array<struct<start:bigint,end:bigint>>")
     none = F.array().cast("array<struct<start:bigint,end:bigint>>")
-    rows = first.where("p < 0").select("doc_id", "n1", "n2", F.col("w").cast("bigint").alias("n_bytes"), "sha").join(ended, ["n1", "n2"], "left")
-    return rows.select(
-        "doc_id", "n_bytes", F.coalesce("n_removed", F.lit(0)).cast("bigint").alias("n_removed"), F.coalesce(F.size("removed"), F.lit(0)).cast("bigint").alias("n_spans"),
-        F.coalesce("kept", "sha").alias("kept_sha256"), F.coalesce("removed", none).alias("removed"),
+    rows = first.where("p < 0").select("doc_id", "n1", "n2", F.col("w").cast("bigint").alias("n_bytes"), "sha")
+    copies = rows.where(F.col("n_bytes") >= LENGTH).groupBy("n1", "n2").agg((F.count(F.lit(1)) - 1).alias("copies"))
+    # the counts are written, so that a text with very many copies can be split over tasks
+    ended = written(copies.join(ended, ["n1", "n2"], "left"), "ended")
+    zero = F.lit(0).cast("bigint")
+    return rows.join(ended, ["n1", "n2"], "left").select(
+        "doc_id", "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce(F.size("removed"), zero).cast("bigint").alias("n_spans"),
+        F.coalesce("kept", "sha").alias("kept_sha256"), F.coalesce("removed", none).alias("removed"), (F.coalesce("n_shared", zero) + F.coalesce("copies", zero)).alias("n_shared"),
     )

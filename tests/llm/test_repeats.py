@@ -81,6 +81,17 @@ def test_rows_equal_every_substring(spark, monkeypatch, group):
     found = without_repeats(docs).collect()
     assert sorted((tuple(r)[:5] for r in found), key=str) == plain(rows)
     assert all(sum(x.end - x.start for x in r.removed) == r.n_removed and len(r.removed) == r.n_spans for r in found)
+    # anchors that other texts hold: never without a common string of their length, and always with one of LENGTH
+    def strings(k):
+        texts = Counter((t or "").encode() for _, t in rows)
+        own = {t: {t[i : i + k] for i in range(len(t) - k + 1)} for t in texts if len(t) >= repeats.LENGTH}
+        every = Counter(x for o in own.values() for x in o)
+        return {t: texts[t] > 1 or any(every[x] > 1 for x in o) for t, o in own.items()}
+
+    may, must = strings(repeats.ANCHORS[0]), strings(repeats.LENGTH)
+    for r in found:
+        t = next((t or "").encode() for d, t in rows if d == r.doc_id)
+        assert must.get(t, False) <= (r.n_shared > 0) <= may.get(t, False)
 
 
 def test_empty_table(spark):
