@@ -293,17 +293,16 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     first = written(first_pass(docs, id_col, text_col), "spans")
     found = first.where("p >= 0").select("a", "s", "n1", "n2", "p", "w", "at")
     alike = found.groupBy("a", "s").agg(
-        F.count(F.lit(1)).alias("n"), F.min(F.struct("n1", "n2", "p", "w", "at")).alias("one"), F.min("n1").alias("least"), F.max("n1").alias("most")
+        F.count(F.lit(1)).alias("n"), F.min(F.struct("n1", "n2", "p", "w", "at")).alias("one"), F.max("n1").alias("most")
     )
     alike = written(alike, "alike")
-    groups = alike.groupBy("a").agg(F.count(F.lit(1)).alias("kinds"), F.count_if(F.col("n") == 1).alias("single"), (F.min("least") < F.max("most")).alias("shared"))
-    groups = written(groups.where("kinds > 1 and single > 0 or shared"), "groups")
-    undecided = alike.join(groups.where("kinds > 1 and single > 0").select("a"), "a", "left_semi")
-    undecided = undecided.select("one.n1", "one.n2", "one.p", "one.w", "one.at", "a", (F.col("n") > 1).alias("known"), F.lit(True).alias("item"), F.lit(False).alias("shared"))
-    marks = alike.join(groups.where("shared").select("a", "shared"), "a", "left").where("n > 1 or shared")
-    marks = marks.select("a", "s", (F.col("n") > 1).alias("item"), F.coalesce("shared", F.lit(False)).alias("shared"))
-    met = found.join(marks, ["a", "s"])
-    met = met.select("n1", "n2", "p", "w", "at", F.lit(None).cast("bigint").alias("a"), F.lit(None).cast("boolean").alias("known"), "item", "shared").distinct()
+    # a span that several texts hold tells so itself; one that a single text holds shares its anchor with other spans
+    groups = alike.groupBy("a").agg(F.count(F.lit(1)).alias("kinds"), F.count_if(F.col("n") == 1).alias("single"), (F.min("one.n1") < F.max("most")).alias("shared"))
+    groups = groups.where("kinds > 1 and (single > 0 or shared)").select("a", (F.col("single") > 0).alias("item"), "shared")
+    undecided = alike.join(groups, "a").where("item or one.n1 = most")
+    undecided = undecided.select("one.n1", "one.n2", "one.p", "one.w", "one.at", "a", (F.col("n") > 1).alias("known"), "item", F.expr("shared and one.n1 = most").alias("shared"))
+    met = found.join(alike.where("n > 1").select("a", "s", (F.col("one.n1") < F.col("most")).alias("shared")), ["a", "s"])
+    met = met.select("n1", "n2", "p", "w", "at", F.lit(None).cast("bigint").alias("a"), F.lit(None).cast("boolean").alias("known"), F.lit(True).alias("item"), "shared").distinct()
     item = F.when(F.col("item"), F.struct("p", "w", "at", "a", "known"))
     items = undecided.unionByName(met).groupBy("n1", "n2").agg(F.collect_list(item).alias("items"), F.count_if("shared").alias("n_shared"))
     # copies of a text are one row before they meet their items
