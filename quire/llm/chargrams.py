@@ -12,7 +12,7 @@ import numpy as np
 
 BITS = 12
 #: Characters that one step of numpy work takes at most; longer texts are split at spaces.
-STEP = 1 << 20
+STEP = 1 << 18
 
 
 def normal(text: str | None) -> str:

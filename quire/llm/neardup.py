@@ -124,17 +124,19 @@ def lookups(nodes: DataFrame) -> DataFrame:
 
     def each(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            if not batch.num_rows:
-                continue
-            node = batch.column(0).to_numpy()
-            own = print_bytes(batch.column(1))[:, CHAINS]  # nodes x chains x 8
-            key = np.arange(len(CHAINS)) << 24 | own[..., 0].astype(np.int64) << 16 | own[..., 1].astype(np.int64) << 8 | own[..., 2]
-            least = [np.frombuffer(x, np.uint64) for x in batch.column(2).to_pylist()]
-            shingles = (np.concatenate(least) >> np.uint64(2)).astype(np.int64) + SHINGLES
-            keys = np.concatenate([key.ravel(), shingles])
-            nodes_ = np.concatenate([np.repeat(node, len(CHAINS)), np.repeat(node, [len(x) for x in least])])
-            chains = np.concatenate([np.ascontiguousarray(own).view("<i8").ravel(), np.zeros(len(shingles), np.int64)])
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(nodes_), pa.array(chains)], ["key", "node", "chain"])
+            for i in range(0, batch.num_rows, 512):
+                yield made(batch.slice(i, 512))
+
+    def made(some: pa.RecordBatch) -> pa.RecordBatch:
+        node = some.column(0).to_numpy()
+        own = print_bytes(some.column(1))[:, CHAINS]  # nodes x chains x 8
+        key = np.arange(len(CHAINS)) << 24 | own[..., 0].astype(np.int64) << 16 | own[..., 1].astype(np.int64) << 8 | own[..., 2]
+        least = [np.frombuffer(x, np.uint64) for x in some.column(2).to_pylist()]
+        shingles = (np.concatenate(least) >> np.uint64(2)).astype(np.int64) + SHINGLES
+        keys = np.concatenate([key.ravel(), shingles])
+        nodes_ = np.concatenate([np.repeat(node, len(CHAINS)), np.repeat(node, [len(x) for x in least])])
+        chains = np.concatenate([np.ascontiguousarray(own).view("<i8").ravel(), np.zeros(len(shingles), np.int64)])
+        return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(nodes_), pa.array(chains)], ["key", "node", "chain"])
 
     return nodes.select("node", "print", "least").mapInArrow(each, "key bigint, node bigint, chain bigint")
 
@@ -244,7 +246,7 @@ def left_to_compare(buckets: DataFrame, groups: DataFrame, nodes: DataFrame) ->
         F.expr(f"cast(ceil((rows - top.n) / {UNIT[0]}) as int)").alias("xs"), F.expr(f"cast(ceil(rows / {UNIT[1]}) as int)").alias("ys"),
     )
     keys = written(keys, "keys")
-    rows = members.join(keys, "key").withColumn("minor", F.col("component") != F.col("top"))
+    rows = written(members.join(keys, "key").withColumn("minor", F.col("component") != F.col("top")), "contested")
     own = "cast(pmod(xxhash64('{0}', node), {0}s) as int)"
     offers = rows.select("*", F.lit(1).alias("role"), F.expr("explode(sequence(0, xs - 1))").alias("x"), F.expr(own.format("y")).alias("y"))
     asks = rows.where("minor").select("*", F.lit(0).alias("role"), F.expr("explode(sequence(0, ys - 1))").alias("y"), F.expr(own.format("x")).alias("x"))
