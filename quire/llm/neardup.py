@@ -9,8 +9,8 @@ against WHOLE_TAU, and what remains is compared set by set. Sets of few shingles
 also looked up by their least shingles, one of which they share if they are similar.
 
 No bucket is turned into pairs. Its rows are sorted, a large bucket over several tasks, and the first pass compares each
-text once: with the least of those that come first in its buckets, which joins most of a large group. The second pass
-takes the buckets that still hold several components, leaves the largest of them alone, and compares the others with it
+text once: with the least of those that come first in its buckets, which joins most of a large group. Buckets of two
+are compared then, too. The second pass takes the buckets that still hold several components, leaves the largest of them alone, and compares the others with it
 and with each other, in units of bounded size; it misses no pair of different components that shares a bucket and stays
 within the budgets, so that nothing is left for a third.
 
@@ -147,14 +147,15 @@ def within_budgets(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def first_of_buckets(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, node, first, near) of sorted (key, node, chain): the rows of buckets, and whether each is near its first.
+    """(key, node, first, near, pair) of sorted (key, node, chain): the rows of buckets, whether each is near its first,
+    and whether these two are the whole bucket.
 
     Rows stream through; a bucket that goes on in another task has a first in each, and its rows come out even if they
     are alone.
     """
 
-    def made(key, node, first, near) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(node), pa.array(first), pa.array(near)], ["key", "node", "first", "near"])
+    def made(*columns) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["key", "node", "first", "near", "pair"])
 
     held = None  # the open bucket's key, first node and its chain; whether the first has come out
     begun = False
@@ -170,17 +171,19 @@ def first_of_buckets(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sizes = np.diff(np.append(starts, len(key)))
         at = np.repeat(starts, sizes)
         out = new & (np.repeat(sizes, sizes) > 1)
+        whole = sizes == 2
+        whole[[0, -1]] = False  # these may go on in another batch or task
         if not begun:
             out[: sizes[0]] = True  # the bucket may have begun in the task before
         begun = True
         near = at != np.arange(len(key))
         chains = np.flatnonzero(near & out & (key < SHINGLES))
         near[chains] = within_budgets(*(np.ascontiguousarray(chain[x]).view(np.uint8).reshape(-1, 8) for x in (chains, at[chains])))
-        yield made(key[out], node[out], node[at[out]], near[out])
+        yield made(key[out], node[out], node[at[out]], near[out], (near & np.repeat(whole, sizes))[out])
         last = starts[-1]
         held = (key[last], node[last], chain[last], bool(out[last]) or not new[last])
     if held and not held[3]:
-        yield made(*(np.array([x], np.int64) for x in (held[0], held[1], held[1])), np.array([False]))
+        yield made(*(np.array([x], np.int64) for x in (held[0], held[1], held[1])), np.array([False]), np.array([False]))
 
 
 def compared(rows: DataFrame) -> DataFrame:
@@ -236,12 +239,12 @@ def left_to_compare(buckets: DataFrame, groups: DataFrame, nodes: DataFrame) ->
     """The second pass: pairs of different components that share a bucket and stay within the budgets."""
     members = buckets.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
     members = written(members, "members")
-    sizes = members.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"), F.min("first").alias("least"), F.max("first").alias("most"), F.max("near").alias("near"))
+    sizes = members.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"), F.min("first").alias("least"), F.max("first").alias("most"), F.max("near").alias("near"), F.max("pair").alias("pair"))
     keys = sizes.groupBy("key").agg(
-        F.count(F.lit(1)).alias("components"), F.sum("n").alias("rows"), F.max(F.struct("n", "component")).alias("top"), (F.min("least") < F.max("most")).alias("apart"), F.max("near").alias("near")
+        F.count(F.lit(1)).alias("components"), F.sum("n").alias("rows"), F.max(F.struct("n", "component")).alias("top"), (F.min("least") < F.max("most")).alias("apart"), F.max("near").alias("near"), F.max("pair").alias("pair")
     )
-    # two rows that are not near each other need no comparison
-    keys = keys.where("components > 1 and (rows > 2 or apart or near)").select(
+    # two rows that are not near each other need no comparison, or have been compared
+    keys = keys.where("components > 1 and not pair and (rows > 2 or apart or near)").select(
         "key", F.col("top.component").alias("top"),
         F.expr(f"cast(ceil((rows - top.n) / {UNIT[0]}) as int)").alias("xs"), F.expr(f"cast(ceil(rows / {UNIT[1]}) as int)").alias("ys"),
     )
@@ -290,8 +293,9 @@ def near_copies(docs: DataFrame, rows: DataFrame, nodes: DataFrame, ident: Colum
         return written(both.mapInArrow(verify, "a bigint, b bigint"), "links")
 
     sorted_rows = lookups(nodes).repartitionByRange("key", "node").sortWithinPartitions("key", "node")
-    buckets = many_rows(spark, sorted_rows.mapInArrow(first_of_buckets, "key bigint, node bigint, first bigint, near boolean"), "buckets")
-    found = linked(buckets.where("near").groupBy(F.col("node").alias("a")).agg(F.min("first").alias("b")))
+    buckets = many_rows(spark, sorted_rows.mapInArrow(first_of_buckets, "key bigint, node bigint, first bigint, near boolean, pair boolean"), "buckets")
+    least = buckets.where("near").groupBy(F.col("node").alias("a")).agg(F.min("first").alias("b"))
+    found = linked(least.unionByName(buckets.where("pair").select(F.col("node").alias("a"), F.col("first").alias("b"))).distinct())
     groups = connected_components(found)
     more = linked(left_to_compare(buckets, groups, nodes).distinct())
     return connected_components(found.unionByName(more)) if more.take(1) else groups
@@ -313,7 +317,9 @@ def distinct_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rows = written(prints(docs, ident, text, words_per_shingle), "prints")
     one = F.min(F.struct("id", "h1", "h2")).alias("one")
     nodes = rows.groupBy("key").agg(one, *(F.first(c).alias(c) for c in ("size", "print", "least")))
-    nodes = written(nodes.drop("key").withColumn("node", F.monotonically_increasing_id()), "nodes")
+    # numbered in the order of ids: the first text of a bucket is the one that came first, more often the origin of the others
+    nodes = nodes.drop("key").repartitionByRange("one").sortWithinPartitions("one")
+    nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     groups = near_copies(docs, rows, nodes, ident, text, words_per_shingle, similarity)
     of_group = nodes.join(groups, "node", "left").groupBy(F.coalesce("component", "node").alias("group"))
     h1, h2, place = (free_name(docs, x) for x in ("h1", "h2", "place"))
