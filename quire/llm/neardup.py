@@ -249,13 +249,14 @@ def left_to_compare(buckets: DataFrame, groups: DataFrame, nodes: DataFrame) ->
         F.expr(f"cast(ceil((rows - top.n) / {UNIT[0]}) as int)").alias("xs"), F.expr(f"cast(ceil(rows / {UNIT[1]}) as int)").alias("ys"),
     )
     keys = written(keys, "keys")
-    rows = written(members.join(keys, "key").withColumn("minor", F.col("component") != F.col("top")), "contested")
+    prints_of = nodes.select(F.col("node").alias("of"), "print")
+    rows = members.join(keys, "key").withColumn("minor", F.col("component") != F.col("top"))
+    rows = written(rows.join(prints_of, F.col("node") == F.col("of")), "contested")
     own = "cast(pmod(xxhash64('{0}', node), {0}s) as int)"
     offers = rows.select("*", F.lit(1).alias("role"), F.expr("explode(sequence(0, xs - 1))").alias("x"), F.expr(own.format("y")).alias("y"))
     asks = rows.where("minor").select("*", F.lit(0).alias("role"), F.expr("explode(sequence(0, ys - 1))").alias("y"), F.expr(own.format("x")).alias("x"))
-    columns = ["key", "x", "y", "role", "node", "component", "minor"]
-    dealt = offers.select(columns).unionByName(asks.select(columns))
-    return compared(dealt.join(nodes.select("node", "print"), "node"))
+    columns = ["key", "x", "y", "role", "node", "component", "minor", "print"]
+    return compared(offers.select(columns).unionByName(asks.select(columns)))
 
 
 def near_copies(docs: DataFrame, rows: DataFrame, nodes: DataFrame, ident: Column, text: Column, n: int, similarity: float) -> DataFrame:
