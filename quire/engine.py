@@ -14,7 +14,7 @@ from quire.functions import text as X
 from quire.operators import alignment, layer, ordering, responses
 from quire.operators import refine as refining
 from quire.sources import models, sinks
-from quire.sources.documents import PlainPages, Rasterizer, page_rows
+from quire.sources.documents import PlainPages, Rasterizer, page_rows, page_sizes
 
 KEYS = ["doc_id", "page_index"]
 
@@ -126,6 +126,19 @@ def grounded(docs: DataFrame, reader: models.Reader, settings: Settings | None =
     return Result(blocks.select(*KEYS, "box_idx", "box", "text"), lines, pages, [(x, 1, 1, x) for x in ("ocr", "embed")])
 
 
+def hosted(docs: DataFrame, reader: models.Reader, settings: Settings | None = None, rasterizer: Rasterizer | None = None, keep=None) -> Result:
+    """Texts with boxes from a service that takes whole files, such as TaskReader asks. A failing file ends the job.
+
+    Nothing is rendered for it; blocks of pages that a file doesn't have are left out.
+    """
+    s = settings or Settings()
+    pages = _kept(page_sizes(docs, rasterizer or PlainPages()), keep)
+    raw = _kept(models.answers(docs.select("doc_id", F.col("content").alias("image")), reader, ["doc_id"], s.concurrency), keep)
+    blocks = responses.hosted_blocks(raw, ["doc_id"]).withColumnRenamed("block_idx", "box_idx").join(pages.select(*KEYS), KEYS, "left_semi")
+    lines = blocks.select(*KEYS, F.col("box_idx").alias("line_idx"), "text")
+    return Result(blocks.select(*KEYS, "box_idx", "box", "text"), lines, pages, [(x, 1, 1, x) for x in ("ocr", "embed")])
+
+
 def output_files(result: Result, docs: DataFrame, rasterizer: Rasterizer | None = None, dpi: int = 200, assemble: sinks.Assembler = sinks.sandwich) -> DataFrame:
     """(doc_id, content) of each document's searchable file: all pages of `docs`, read or not, at their own size."""
     sized = result.boxes.join(result.pages.select(*KEYS, "page_width", "page_height"), KEYS)

@@ -27,9 +27,13 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     return _named(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path))
 
 
-def landing(spark: SparkSession, folder: str, per_batch: int = 100) -> DataFrame:
-    """The same as a stream of the files that arrive in a folder: the upload queue of a service."""
+def landing(spark: SparkSession, folder: str, per_batch: int = 100, remove: bool = False) -> DataFrame:
+    """The same as a stream of the files that arrive in a folder: the upload queue of a service.
+
+    With `remove` files are deleted once they are worked on, which Spark does while a later batch ends.
+    """
     stream = spark.readStream.format("binaryFile").schema(BINARY_FILE).option("maxFilesPerTrigger", per_batch)
+    stream = stream.option("cleanSource", "delete" if remove else "off")
     return _named(stream.load(folder))
 
 
@@ -186,6 +190,20 @@ def shrunk(gray: np.ndarray, most: int) -> np.ndarray:
     return resized(gray, *(max(1, round(x * most / longest)) for x in gray.shape[::-1]))
 
 
+def page_sizes(docs: DataFrame, rasterizer: Rasterizer) -> DataFrame:
+    """(doc_id, page_index, page_width, page_height) of all pages in points; nothing is rendered."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def each(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            for i in range(batch.num_rows):
+                sizes = rasterizer.sizes(batch.column(2)[i].as_py(), batch.column(1)[i].as_py())
+                columns = [pa.array(range(len(sizes)), pa.int32()), *(pa.array([s[k] for s in sizes], pa.float64()) for k in (0, 1))]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([i] * len(sizes), pa.int64())), *columns], ["doc_id", "page_index", "page_width", "page_height"])
+
+    return docs.select("doc_id", "is_image", "content").mapInArrow(each, f"doc_id {kind}, page_index int, page_width double, page_height double")
+
+
 def page_rows(docs: DataFrame, rasterizer: Rasterizer, pages: str | None = None, dpi: int = 150, most: int = 1024) -> DataFrame:
     """One row for each selected page: doc_id, page_index, n_pages, image, width and height in pixels, page_width and page_height in points.
 

@@ -130,13 +130,13 @@ def layer_of(content: bytes) -> list[dict]:
     boxes = [tuple(map(float, m)) for m in re.findall(rb"/MediaBox \[0 0 ([\d.]+) ([\d.]+)\]", content)]
     streams = re.findall(rb"<< /Length \d+ >>\nstream\n(q .*?)\nendstream", content, re.S)
     for page, (stream, (w, h)) in enumerate(zip(streams, boxes)):
-        for size, scale, x, y, raw in _shown.findall(stream):
+        for n, (size, scale, x, y, raw) in enumerate(_shown.findall(stream)):
             text = re.sub(rb"\\(.)", rb"\1", raw).decode("cp1252")
-            out.append({"page_index": page, "page_width": w, "page_height": h, "text": text, "x": float(x), "baseline_y": h - float(y), "font_size": float(size), "scale_x": float(scale) / 100})
+            out.append({"page_index": page, "span_idx": n, "page_width": w, "page_height": h, "text": text, "x": float(x), "baseline_y": h - float(y), "font_size": float(size), "scale_x": float(scale) / 100})
     return out
 
 
-LAYER = "page_index int, page_width double, page_height double, text string, x double, baseline_y double, font_size double, scale_x double"
+LAYER = "page_index int, span_idx int, page_width double, page_height double, text string, x double, baseline_y double, font_size double, scale_x double"
 
 
 def layer_rows(docs: DataFrame) -> DataFrame:
@@ -144,7 +144,7 @@ def layer_rows(docs: DataFrame) -> DataFrame:
 
     def each(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in LAYER.split(", ")]
-        kinds = [pa.int32(), pa.float64(), pa.float64(), pa.string(), *[pa.float64()] * 4]
+        kinds = [pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.string(), *[pa.float64()] * 4]
         for batch in it:
             for i, r in enumerate(batch.to_pylist()):
                 rows = layer_of(r["content"])

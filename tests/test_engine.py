@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quire import engine
 from quire.sources import models, sinks
 from quire.sources.documents import PlainPages, decoded, encoded, landing, media_type, page_rows, png, read_documents, resized, shrunk
-from quire.sources.standins import HEIGHT, WIDTH, crop_reader, detector, grounded_reader, page, reader
+from quire.sources.standins import HEIGHT, WIDTH, HostedService, crop_reader, detector, grounded_reader, page, reader
 from quire.streaming.progress import latest
 
 
@@ -157,6 +157,82 @@ def test_unselected_pages_are_in_the_file(spark, tmp_path):
     assert b"/Width 400 /Height 600" in content and b"/MediaBox [0 0 400.0000 600.0000]" in content
 
 
+def test_hosted_job(spark, folder):
+    docs = read_documents(spark, folder)
+    result = engine.hosted(docs, models.TaskReader(HostedService(), every=0.01))
+    boxes = result.boxes.orderBy("doc_id", "page_index", "box_idx").collect()
+    assert [r.text for r in boxes] == ["block 0 of 0", "block 1 of 0", "block 2 of 0", "block 0 of 1", "block 1 of 1", "block 0 of 0"]
+    assert [round(x, 6) for x in boxes[0].box] == [0.1, round(40 / HEIGHT, 6), 0.9, 0.1]
+    spans = sinks.layer_rows(engine.output_files(result, docs)).collect()
+    assert len(spans) == 6 and {s.x for s in spans} == {40.0}
+
+
+def test_words_page_boxes_and_fixtures_of_files(spark, folder):
+    from quire.operators.responses import truth_blocks
+    from quire.sources import layers
+
+    docs = read_documents(spark, folder)
+    files = engine.output_files(engine.hybrid(docs, detector, reader, crop_reader), docs).cache()
+    spans = sinks.layer_rows(files).cache()
+    found = layers.words(spans).where(F.col("doc_id").contains("a.pdf") & (F.col("page_index") == 0) & (F.col("span_idx") == 1)).orderBy("word_idx").collect()
+    assert [w.word for w in found] == ["line", "number", "1", "of", "the", "page"]
+    assert found[0].box.x0 == pytest.approx(40, abs=0.01) and found[-1].box.x1 == pytest.approx(40 + 0.98 * 320, rel=1e-3)
+    assert all(a.box.x1 < b.box.x0 for a, b in zip(found, found[1:]))
+    assert all((w.box.y0, w.box.y1) == (pytest.approx(100, abs=0.1), pytest.approx(120, abs=0.1)) for w in found)
+    boxes = layers.page_boxes(files)
+    assert sorted((r.page_index, r.rotation, r.media_box, r.page_width, r.page_height) for r in boxes.collect()) == [(n, 0, [0.0, 0.0, WIDTH, HEIGHT], WIDTH, HEIGHT) for n in (0, 0, 1)]
+    made = layers.fixtures_of(spans, boxes, F.lit("output_a.pdf"))
+    back = truth_blocks(made.withColumnRenamed("json", "raw"), ["doc_id"]).where(F.col("doc_id").contains("a.pdf")).orderBy("block_idx").collect()
+    assert [(r.page_index, r.text) for r in back] == [(p, f"line number {k} of the page") for p, k in ((0, 0), (0, 1), (0, 2), (1, 0), (1, 1))]
+    assert [round(r.box.y0 * HEIGHT) for r in back] == [40, 100, 160, 40, 100] and {round(r.box.x0 * WIDTH) for r in back} == {40}
+
+
+def test_page_boxes_are_inherited_and_unpacked(spark):
+    import zlib
+
+    from quire.sources.layers import page_boxes
+
+    pages = [b"<< /Type /Page /Parent 2 0 R >>", b"<< /Type /Page /Parent 2 0 R /Rotate 90 /CropBox [10 10 110.5 60] >>"]
+    index = b"4 0 5 %d " % (len(pages[0]) + 1)
+    packed = zlib.compress(index + b"\n".join(pages))
+    plain = b"%PDF-1.5\n1 0 obj << /Type /Catalog /Pages 2 0 R >> endobj\n2 0 obj << /Type /Pages /Kids [5 0 R 4 0 R] /Count 2 /MediaBox [0 0 200 300] >> endobj\n"
+    stream = b"3 0 obj << /Type /ObjStm /N 2 /First %d /Filter /FlateDecode /Length %d >> stream\n%s\nendstream endobj\n" % (len(index), len(packed), packed)
+    docs = spark.createDataFrame([("a", plain + stream), ("b", b""), ("c", None), ("d", b"no file of this kind")], "doc_id string, content binary")
+    rows = page_boxes(docs).orderBy("page_index").collect()
+    assert [(r.doc_id, r.rotation, r.media_box, r.crop_box, r.page_width, r.page_height) for r in rows] == [
+        ("a", 90, [0, 0, 200, 300], [10, 10, 110.5, 60], 50, 100.5),
+        ("a", 0, [0, 0, 200, 300], [0, 0, 200, 300], 200, 300),
+    ]
+
+
+def test_service_answers_uploads(spark, folder, tmp_path):
+    from quire.streaming.service import serve
+
+    def job(docs, keep):
+        def fails(image):
+            if len(detector([image])[0]) == 4:
+                raise RuntimeError("model is down")
+            return reader(image)
+
+        return engine.hybrid(docs, detector, fails, crop_reader, keep=keep)
+
+    uploads, out = tmp_path / "uploads", str(tmp_path / "out")
+    uploads.mkdir()
+    for name in ("a.pdf", "b.png"):
+        os.rename(os.path.join(folder, name), uploads / name)
+    serve(spark, str(uploads), out, job).trigger(availableNow=True).start().awaitTermination(180)
+    files = spark.read.parquet(f"{out}/files").collect()
+    assert [r.doc_id.rsplit("/")[-1] for r in files] == ["b.png"] and bytes(files[0].content).startswith(b"%PDF")
+    assert json.loads(sinks.text_of(spark, f"{out}/texts", files[0].doc_id)) == {"0": ["line number 0 of the page"]}
+    told = {r.job_id.rsplit("/")[-1]: (r.percent, r.message) for r in latest(spark.read.parquet(f"{out}/events")).collect()}
+    assert told["b.png"][0] == 100 and told["a.pdf"][0] == 0 and "model is down" in told["a.pdf"][1]
+    assert not os.listdir(f"{out}/work")
+    # uploads go once a later batch ends
+    (uploads / "c.png").write_bytes(page([200]))
+    serve(spark, str(uploads), out, job).trigger(availableNow=True).start().awaitTermination(180)
+    assert spark.read.parquet(f"{out}/files").count() == 2
+
+
 def test_whole_pages_are_lines_from_the_top(spark):
     box = "struct<x0:double,y0:double,x1:double,y1:double>"
     long = "a very long line " * 30
