@@ -33,7 +33,8 @@ Reader = Callable[[bytes], str]
 
 
 def data_url(image: Column, kind: str = "image/jpeg") -> Column:
-    return F.concat(F.lit(f"data:{kind};base64,"), F.base64(image))
+    # Spark breaks base64 into lines of 76 characters
+    return F.concat(F.lit(f"data:{kind};base64,"), F.replace(F.base64(image), F.lit("\r\n"), F.lit("")))
 
 
 @dataclass

@@ -1,5 +1,6 @@
 """Whole jobs over small files, with stand-ins for models."""
 
+import base64
 import json
 import os
 
@@ -28,6 +29,13 @@ def test_images():
     assert resized(gray, 8, 6).shape == (6, 8) and shrunk(gray, 2).shape == (2, 2) and shrunk(gray, 9) is gray
 
 
+def test_data_urls_have_no_line_breaks(spark):
+    images = [bytes(range(n)) for n in (0, 1, 56, 57, 58, 114, 115, 256)] + [None]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(images)], "i int, image binary")
+    found = {r.i: r.url for r in df.select("i", models.data_url(F.col("image")).alias("url")).collect()}
+    assert found == {i: None if x is None else "data:image/jpeg;base64," + base64.b64encode(x).decode() for i, x in enumerate(images)}
+
+
 def test_page_selection_comes_before_rendering(spark, folder):
     docs = read_documents(spark, folder)
     assert {(r.path.rsplit("/")[-1], r.is_image) for r in docs.collect()} == {("a.pdf", False), ("b.png", True)}
