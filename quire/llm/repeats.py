@@ -22,9 +22,10 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.llm.passages import shared_windows
 from quire.llm.shared import text_batches, written
 from quire.llm.suffixes import suffix_array
 
@@ -281,11 +282,12 @@ def resolve(work: DataFrame, level: int = 0) -> DataFrame:
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, removed, n_shared) for every row of `docs`.
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, removed, n_shared, n_common) for every row of `docs`.
 
     A byte goes if a string of LENGTH bytes that covers it starts anywhere else too, in the same or another row;
     `removed` lists the maximal runs as (start, end) in bytes. n_shared tells of shorter common passages, which stay:
-    it counts the text's anchors, strings of ANCHORS[0] bytes, that other texts hold too, and its further copies. Null
+    it counts the text's anchors, strings of ANCHORS[0] bytes, that other texts hold too, and its further copies.
+    n_common counts exactly the windows of 51 words that another row holds too (see passages.py), of any length. Null
     texts are empty, texts of fewer than LENGTH bytes keep everything and share nothing; rows that repeat are copies of
     each other. Other columns are ignored; an empty table gives no rows.
     """
@@ -295,11 +297,14 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     alike = found.groupBy("a", "s").agg(
         F.count(F.lit(1)).alias("n"), F.min(F.struct("n1", "n2", "p", "w", "at")).alias("one"), F.max("n1").alias("most")
     )
-    alike = written(alike, "alike")
     # a span that several texts hold tells so itself; one that a single text holds shares its anchor with other spans
-    groups = alike.groupBy("a").agg(F.count(F.lit(1)).alias("kinds"), F.count_if(F.col("n") == 1).alias("single"), (F.min("one.n1") < F.max("most")).alias("shared"))
-    groups = groups.where("kinds > 1 and (single > 0 or shared)").select("a", (F.col("single") > 0).alias("item"), "shared")
-    undecided = alike.join(groups, "a").where("item or one.n1 = most")
+    same = Window.partitionBy("a")
+    alike = alike.select(
+        "*", F.count(F.lit(1)).over(same).alias("kinds"), (F.count_if(F.col("n") == 1).over(same) > 0).alias("item"), (F.min("one.n1").over(same) < F.max("most").over(same)).alias("shared")
+    )
+    # spans whose anchor occurs nowhere else end here
+    alike = written(alike.where("n > 1 or kinds > 1 and (item or shared)"), "alike")
+    undecided = alike.where("kinds > 1 and (item or shared) and (item or one.n1 = most)")
     undecided = undecided.select("one.n1", "one.n2", "one.p", "one.w", "one.at", "a", (F.col("n") > 1).alias("known"), "item", F.expr("shared and one.n1 = most").alias("shared"))
     met = found.join(alike.where("n > 1").select("a", "s", (F.col("one.n1") < F.col("most")).alias("shared")), ["a", "s"])
     met = met.select("n1", "n2", "p", "w", "at", F.lit(None).cast("bigint").alias("a"), F.lit(None).cast("boolean").alias("known"), F.lit(True).alias("item"), "shared").distinct()
@@ -342,7 +347,9 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # the counts are written, so that a text with very many copies can be split over tasks
     ended = written(copies.join(ended, ["n1", "n2"], "left"), "ended")
     zero = F.lit(0).cast("bigint")
-    return rows.join(ended, ["n1", "n2"], "left").select(
+    common = written(shared_windows(docs, text_col), "common")
+    return rows.join(ended, ["n1", "n2"], "left").join(common, "n1", "left").select(
         "doc_id", "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce(F.size("removed"), zero).cast("bigint").alias("n_spans"),
         F.coalesce("kept", "sha").alias("kept_sha256"), F.coalesce("removed", none).alias("removed"), (F.coalesce("n_shared", zero) + F.coalesce("copies", zero)).alias("n_shared"),
+        F.coalesce("n_common", zero).alias("n_common"),
     )

@@ -94,5 +94,21 @@ def test_rows_equal_every_substring(spark, monkeypatch, group):
         assert must.get(t, False) <= (r.n_shared > 0) <= may.get(t, False)
 
 
+def test_common_windows_equal_every_window(spark):
+    rng = random.Random(17)
+    text = lambda k: " ".join(rng.choice(["a", "of", "é", "word", "wörd", "漢字"]) + str(rng.randrange(9)) for _ in range(k))
+    passages = [text(k) for k in (50, 51, 52, 60, 140)]
+    rows = [(i, rng.choice([" ", "\n\t"]).join([text(rng.choice([0, 5, 70])), rng.choice(passages), text(rng.choice([0, 3, 60])), rng.choice([rng.choice(passages), ""])])) for i in range(80)]
+    rows += [(900, None), (901, ""), (902, "x " * 200), (903, text(30)), (904, rows[0][1]), (905, passages[0]), (906, passages[0]), (907, long := text(70)), (None, long), (909, rows[5][1] + " z")]
+    held = Counter()
+    windows = lambda t: [tuple(w[i : i + 51]) for w in [(t or "").encode().split()] for i in range(len(w) - 50)]
+    for _, t in rows:
+        held.update(set(windows(t)))
+    wanted = {d: sum(held[w] > 1 for w in windows(t)) for d, t in rows}
+    docs = spark.createDataFrame([(*r, "clash", "clash") for r in rows], SCHEMA).repartition(3)
+    assert {r.doc_id: r.n_common for r in without_repeats(docs).collect()} == wanted
+    assert 0 in wanted.values() and 1 in wanted.values() and wanted[None] == 20
+
+
 def test_empty_table(spark):
     assert without_repeats(spark.createDataFrame([], SCHEMA)).collect() == []
