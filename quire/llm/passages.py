@@ -8,6 +8,7 @@ common passages, is compared window by window. Words are separated by ASCII whit
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.shared import written
+from quire.llm.shared import least, written
 
 WORDS = 51
 #: Words of an anchor.
@@ -23,6 +24,9 @@ K = 8
 #: Bits of the bitmap at most (16 MB); there are 16 for each anchor up to there.
 MAP_BITS = 1 << 27
 
+#: Powers of a base that are kept (4 MB).
+POWERS = 1 << 19
+
 BASE = 0x9E3779B97F4A7C15
 LETTERS = np.random.default_rng(1).integers(0, 1 << 63, 256, np.uint64)
 SPACE = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
@@ -40,47 +44,58 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.cumprod(out, dtype=np.uint64)
 
 
+@functools.cache
+def _first_powers(base: int) -> np.ndarray:
+    return _powers(base, POWERS)
+
+
+def powers(base: int, n: int) -> np.ndarray:
+    """The first n powers of `base`, from a table unless there are very many."""
+    return _first_powers(base)[:n] if n <= POWERS else _powers(base, n)
+
+
 class Ranges:
     """Hashes of ranges of a sequence of hashes."""
 
     def __init__(self, values: np.ndarray):
         n = len(values)
-        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values * _powers(BASE, n), dtype=np.uint64)])
-        self.back = _powers(pow(BASE, -1, 1 << 64), n + 1)
+        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values * powers(BASE, n), dtype=np.uint64)])
+        self.back = powers(pow(BASE, -1, 1 << 64), n + 1)
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return _mixed((self.sums[end] - self.sums[start]) * self.back[start])
 
 
-def word_spans(texts: list[bytes]) -> tuple[np.ndarray, ...]:
-    """(owner, first window, windows, anchor's hash, hash of all words) of every span, the hash of every window by its
-    place among all words, and the place of each text's first word."""
-    from quire.llm.repeats import first_least
+def word_spans(texts: list[bytes]) -> tuple:
+    """(owner, first window, windows, anchor's hash) of every span, the ranges of all words, and the place of each
+    text's first word."""
+    from quire.llm.repeats import least_at
 
     data = np.frombuffer(b" ".join([*texts, b""]), np.uint8)
-    edges = np.flatnonzero(np.diff(np.concatenate([[True], SPACE[data], [True]]).astype(np.int8)))
+    space = np.ones(len(data) + 2, bool)
+    space[1:-1] = SPACE[data]
+    edges = np.flatnonzero(space[1:] != space[:-1])
     start, end = edges[::2], edges[1::2]
     sizes = np.array([len(x) + 1 for x in texts])
     begins = np.searchsorted(start, np.cumsum(sizes) - sizes)
     none = np.zeros(0, np.int64)
     if len(start) < WORDS:
-        return none, none, none, none, none, none, begins
+        return none, none, none, none, None, begins
     words = Ranges(Ranges(LETTERS[data]).of(start, end))
     at = np.arange(len(start) - K + 1)
     grams = words.of(at, at + K)
-    anchors = first_least(grams, WORDS - K + 1)
+    anchors = least_at(grams, WORDS - K + 1)
     at = np.arange(len(anchors))
-    windows = words.of(at, at + WORDS).view(np.int64)
-    owner = np.searchsorted(begins, at, "right") - 1
-    inside = at + WORDS <= np.append(begins[1:], len(start))[owner]
+    ends = np.append(begins[1:], len(start))
+    owner = np.repeat(np.arange(len(texts)), ends - begins)[: len(at)]
+    inside = at + WORDS <= ends[owner]
     new = np.ones(len(anchors), bool)
     new[1:] = (anchors[1:] != anchors[:-1]) | (owner[1:] != owner[:-1]) | (inside[1:] != inside[:-1])
     first = np.flatnonzero(new)
     width = np.diff(np.append(first, len(anchors)))
     keep = inside[first]
     first, width = first[keep], width[keep]
-    whole = words.of(first, first + width + WORDS - 1)
-    return owner[first], first, width, grams[anchors[first]].view(np.int64), whole.view(np.int64), windows, begins
+    return owner[first], first, width, grams[anchors[first]].view(np.int64), words, begins
 
 
 def bitmap(hashes: DataFrame) -> np.ndarray:
@@ -122,7 +137,7 @@ def shared_windows(docs: DataFrame, text_col: str = "text") -> DataFrame:
         bits = filled.value
         names = ["n1", "p", "w", "h", "s", "v"]
         for batch in it:
-            for nodes, (owner, first, width, h, s, windows, begins) in found_in(batch):
+            for nodes, (owner, first, width, h, words, begins) in found_in(batch):
                 if not len(owner):
                     continue
                 n_windows = np.bincount(owner, width, len(nodes)).astype(np.int32)
@@ -131,9 +146,11 @@ def shared_windows(docs: DataFrame, text_col: str = "text") -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(nodes[own]), pa.array(np.full(n, -1, np.int32)), pa.array(n_windows[own]), none, none, pa.nulls(n, pa.list_(pa.int64()))], names)
                 low = h & ((len(bits) << 6) - 1)
                 at = np.flatnonzero((bits[low >> 6] >> (low & 63)) & 1)
-                owner, first, width, h, s = owner[at], first[at], width[at], h[at], s[at]
+                owner, first, width, h = owner[at], first[at], width[at], h[at]
+                s = words.of(first, first + width + WORDS - 1).view(np.int64)
                 ends = np.cumsum(width)
-                v = windows[np.repeat(first - (ends - width), width) + np.arange(ends[-1] if len(ends) else 0)]
+                v = np.repeat(first - (ends - width), width) + np.arange(ends[-1] if len(ends) else 0)
+                v = words.of(v, v + WORDS).view(np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(v))
                 yield pa.RecordBatch.from_arrays([pa.array(nodes[owner]), pa.array((first - begins[owner]).astype(np.int32)), pa.array(width.astype(np.int32)), pa.array(h), pa.array(s), lists], names)
 
@@ -141,7 +158,7 @@ def shared_windows(docs: DataFrame, text_col: str = "text") -> DataFrame:
     # copies share everything; from here on a text is there once
     copies = rows.where("p < 0").groupBy("n1").agg(F.count(F.lit(1)).alias("n"), F.max("w").alias("w")).where("n > 1").select("n1", F.col("w").cast("bigint").alias("n"))
     spans = written(rows.where("p >= 0").select("n1", "p", "w", "h", "s").distinct(), "spans")
-    kinds = written(spans.groupBy("h", "s").agg(several.alias("whole"), F.min(F.struct("n1", "p")).alias("one"), F.min("n1").alias("least"), F.max("n1").alias("most")), "kinds")
+    kinds = written(spans.groupBy("h", "s").agg(several.alias("whole"), least("n1", "p").alias("one"), F.min("n1").alias("least"), F.max("n1").alias("most")), "kinds")
     whole = spans.join(kinds.where("whole").select("h", "s"), ["h", "s"]).select("n1", F.col("w").cast("bigint").alias("n"))
     # the windows of other spans, and those of one span of each kind that is shared as a whole
     open_ = kinds.groupBy("h").agg(F.count_if(~F.col("whole")).alias("single"), (F.min("least") < F.max("most")).alias("several")).where("single > 0 and several").select("h")

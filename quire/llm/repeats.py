@@ -8,6 +8,7 @@ anchors, at the same place relative to the anchor. So anchors deal out the work:
 - A span whose anchor occurs nowhere else repeats nothing.
 - The rest, spans at the edges of common passages, meet by anchor. A suffix array of their contents, the anchor being
   one letter there, puts equal strings side by side, and each start is decided.
+  Letters that only strings with a hash of their own cover stay out of it, since such strings equal no other.
 
 Groups of more than GROUP different spans are cut by longer anchors, up to strings of the full length, where every
 group is one string. Nothing is gathered without bound, and nothing is dropped.
@@ -25,8 +26,8 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.llm.passages import shared_windows
-from quire.llm.shared import text_batches, written
+from quire.llm.passages import powers, shared_windows
+from quire.llm.shared import least, text_batches, written
 from quire.llm.suffixes import suffix_array
 
 LENGTH = 400
@@ -40,6 +41,8 @@ LETTERS = 12_000
 STEP = 1 << 18
 
 BASE = 0x9E3779B97F4A7C15
+BACK = pow(BASE, -1, 1 << 64)
+LOW = np.uint64((1 << 32) - 1)
 SPAN = "a bigint, s bigint, n1 bigint, n2 bigint, p int, w int, at int"
 WORK = "a binary, n1 bigint, n2 bigint, p int, w int, at int, content binary, known boolean"
 
@@ -49,20 +52,19 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+def _letters(data: np.ndarray) -> np.ndarray:
+    return _mixed(data.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(0x165667B19E3779F9))
+
+
+BYTES = _letters(np.arange(256))
+
+
 def substring_hashes(data: np.ndarray, k: int) -> np.ndarray:
-    """A hash of the k bytes from each position on, by doubling."""
-    power = lambda n: np.uint64(pow(BASE, n, 1 << 64))
-    now, size = _mixed(data.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(0x165667B19E3779F9)), 1
-    out, done = None, 0
-    while True:
-        if k & size:
-            n = len(data) - done - size + 1
-            out = now if out is None else out[:n] * power(size) + now[done : done + n]
-            done += size
-        if done == k:
-            return _mixed(out)
-        n = len(data) - 2 * size + 1
-        now, size = now[:n] * power(size) + now[size : size + n], 2 * size
+    """A hash of the k bytes from each position on, by prefix sums."""
+    n = len(data)
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum((BYTES[data] if data.dtype == np.uint8 else _letters(data)) * powers(BASE, n), out=sums[1:])
+    return _mixed((sums[k:] - sums[: n - k + 1]) * powers(BACK, n - k + 1))
 
 
 def first_least(values: np.ndarray, width: int) -> np.ndarray:
@@ -80,6 +82,17 @@ def first_least(values: np.ndarray, width: int) -> np.ndarray:
     return less(now[:n], at[:n], now[by : by + n], at[by : by + n])[1]
 
 
+def least_at(hashes: np.ndarray, width: int) -> np.ndarray:
+    """As first_least, by the upper halves of hashes, which their positions follow: minima within blocks from both sides."""
+    n = len(hashes)
+    blocks = np.full(-(-n // width) * width, ~np.uint64(0))
+    blocks[:n] = hashes & ~LOW | np.arange(n, dtype=np.uint64)
+    blocks = blocks.reshape(-1, width)
+    before = np.minimum.accumulate(blocks, axis=1).ravel()[width - 1 : n]
+    after = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()[: n - width + 1]
+    return (np.minimum(before, after) & LOW).astype(np.int64)
+
+
 def spans(texts: list[bytes], k: int) -> tuple[np.ndarray, ...]:
     """(owner, start, width, anchor's offset from start, anchor's hash) of every span of the texts."""
     data = np.frombuffer(b"".join(texts), np.uint8)
@@ -89,7 +102,7 @@ def spans(texts: list[bytes], k: int) -> tuple[np.ndarray, ...]:
     sizes = np.array([len(x) for x in texts])
     begins = np.cumsum(sizes) - sizes
     hashes = substring_hashes(data, k)
-    anchors = first_least(hashes, LENGTH - k + 1)
+    anchors = least_at(hashes, LENGTH - k + 1)
     owner = np.repeat(np.arange(len(texts)), sizes)[: len(anchors)]
     inside = np.arange(len(anchors)) + LENGTH <= (begins + sizes)[owner]
     new = np.ones(len(anchors), bool)
@@ -192,20 +205,35 @@ def repeated_starts(members: list[tuple[int, int, int, bytes]], k: int) -> list[
         begins.append(n)
         n += len(text)
     text = np.concatenate(letters)
-    order = suffix_array(text)
     size = LENGTH - k + 1
     found = np.zeros(len(text), bool)
     if len(text) < size:
         return [found[:0]] * len(members)
-    # neighbours whose first letters hash alike, and then are alike
-    order = order[order <= len(text) - size]
-    hashes = substring_hashes(text, size)[order]
-    pairs = np.flatnonzero(hashes[1:] == hashes[:-1])
-    raw, step = text.tobytes(), text.itemsize
-    at = (order * step).tolist()
-    pairs = [i for i in pairs.tolist() if raw[at[i] : at[i] + size * step] == raw[at[i + 1] : at[i + 1] + size * step]]
-    pairs = np.array(pairs, np.int64)
-    found[order[pairs]] = found[order[pairs + 1]] = True
+    # equal strings hash alike: the array need not hold letters that only strings with a hash of their own cover
+    hashes = substring_hashes(text, size)
+    order = np.argsort(hashes)
+    pairs = np.flatnonzero(hashes[order[1:]] == hashes[order[:-1]])
+    open_ = np.zeros(len(text) + 1, bool)
+    open_[order[pairs]] = open_[order[pairs + 1]] = True
+    starts = np.flatnonzero(open_)
+    if len(starts):
+        edge = np.zeros(len(text) + 1, np.int64)
+        edge[starts] = 1
+        edge[starts + size] -= 1
+        held = np.cumsum(edge) > 0
+        ends = np.flatnonzero(held[:-1] > held[1:]) + 1
+        held[ends] = True
+        part = np.append(text, 0)
+        part[ends] = (1 << 40) + np.arange(len(ends))  # each ends a run of letters
+        order = np.flatnonzero(held)[suffix_array(part[held])]
+        # neighbours whose first letters hash alike, and then are alike
+        order = order[open_[order]]
+        pairs = np.flatnonzero(hashes[order[1:]] == hashes[order[:-1]])
+        raw, step = text.tobytes(), text.itemsize
+        at = (order * step).tolist()
+        pairs = [i for i in pairs.tolist() if raw[at[i] : at[i] + size * step] == raw[at[i + 1] : at[i + 1] + size * step]]
+        pairs = np.array(pairs, np.int64)
+        found[order[pairs]] = found[order[pairs + 1]] = True
     return [found[b : b + width] for b, (_, width, _, _) in zip(begins, members)]
 
 
@@ -295,7 +323,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     first = written(first_pass(docs, id_col, text_col), "spans")
     found = first.where("p >= 0").select("a", "s", "n1", "n2", "p", "w", "at")
     alike = found.groupBy("a", "s").agg(
-        F.count(F.lit(1)).alias("n"), F.min(F.struct("n1", "n2", "p", "w", "at")).alias("one"), F.max("n1").alias("most")
+        F.count(F.lit(1)).alias("n"), least("n1", "n2", "p", "w", "at").alias("one"), F.max("n1").alias("most")
     )
     # a span that several texts hold tells so itself; one that a single text holds shares its anchor with other spans
     same = Window.partitionBy("a")

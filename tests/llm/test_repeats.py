@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from quire.llm import repeats
 from quire.llm.repeats import first_least, substring_hashes, without_repeats
+from quire.llm.shared import least
 from quire.llm.suffixes import suffix_array
 
 SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("n1", T.StringType()), T.StructField("sha", T.StringType())])
@@ -110,5 +111,37 @@ def test_common_windows_equal_every_window(spark):
     assert 0 in wanted.values() and 1 in wanted.values() and wanted[None] == 20
 
 
+def test_least_at_depends_on_the_window_alone():
+    rng = np.random.default_rng(19)
+    upper = rng.integers(0, 40, 500).astype(np.uint64) << np.uint64(32)  # ties in the upper halves go to the first
+    hashes = upper | rng.integers(0, 1 << 32, 500).astype(np.uint64)
+    for w in (1, 2, 44, 201, 499, 500):
+        assert repeats.least_at(hashes, w).tolist() == first_least(upper, w).tolist()
+
+
+def test_suffix_arrays_hold_only_letters_that_may_repeat(monkeypatch):
+    rng = random.Random(23)
+    some = lambda n: bytes(rng.choice(b"abc") for _ in range(n))
+    anchor, passage, members = some(200), some(450), []
+    for _ in range(3):  # around the anchor alike in fewer bytes than LENGTH
+        members.append((0, 101, 150, some(150) + anchor + some(150)))
+    for left, right in ((60, 9), (90, 0), (0, 5)):
+        members.append((1, 51 + left + right, left + 60, some(left) + passage + some(right)))
+    members.append((2, 51, 60, passage))  # the same letters in another group
+    held = []
+    monkeypatch.setattr(repeats, "suffix_array", lambda text: held.append(len(text)) or suffix_array(text))
+    found = [set(np.flatnonzero(x).tolist()) for x in repeats.repeated_starts(members, 200)]
+    assert found == [set(), set(), set(), set(range(60, 111)), set(range(90, 141)), set(range(51)), set()]
+    assert held == [3 * (51 + 201)]
+    assert not any(x.any() for x in repeats.repeated_starts(members[:3], 200)) and len(held) == 1
+
+
+def test_least_rows_need_no_sort(spark):
+    rows = spark.createDataFrame([(1, 7, 3), (1, 5, 9), (2, 4, 4)], "a int, n bigint, p int")
+    found = rows.groupBy("a").agg(least("n", "p").alias("one"))
+    assert {(r.a, r.one.n, r.one.p) for r in found.collect()} == {(1, 5, 9), (2, 4, 4)}
+    assert "SortAggregate" not in found._jdf.queryExecution().toString()
+
+
 def test_empty_table(spark):
     assert without_repeats(spark.createDataFrame([], SCHEMA)).collect() == []
